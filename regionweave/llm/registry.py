@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .exact import OP6_SQL, op6_exact
+from .secrets import op7_secrets
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op6_exact": op6_exact,
+    "op7_secrets": op7_secrets,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_exact": OP6_SQL,
+}

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from .bpe import op2_bpe
 from .exact import OP6_SQL, op6_exact
+from .mixing import OP8_SQL, op8_mixing
 from .secrets import op7_secrets
 
 QUERIES = {
     "op2_bpe": op2_bpe,
     "op6_exact": op6_exact,
     "op7_secrets": op7_secrets,
+    "op8_mixing": op8_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_exact": OP6_SQL,
+    "op8_mixing": OP8_SQL,
 }

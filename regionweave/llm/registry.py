@@ -6,9 +6,11 @@ from .bpe import op2_bpe
 from .exact import OP6_SQL, op6_exact
 from .mixing import OP8_SQL, op8_mixing
 from .secrets import op7_secrets
+from .sketch import op4_sketch
 
 QUERIES = {
     "op2_bpe": op2_bpe,
+    "op4_sketch": op4_sketch,
     "op6_exact": op6_exact,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,

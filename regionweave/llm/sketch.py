@@ -15,16 +15,22 @@ from .common import partitions, table
 
 #: Shingle size in words; hashes kept are those whose top SCALE_BITS bits are zero: one in 2 ** SCALE_BITS.
 WORDS, SCALE_BITS = 5, 2
+#: A word: a run of characters other than space and the ASCII controls 9 to 13.
+WORD = r"[^\x20\x09-\x0D]+"
 #: Neighbouring documents are ordered in this many groups per shuffle partition.
 GROUPS = 4
 
 
 def kept_hashes(text: Column) -> Column:
     """Sorted distinct shingle hashes of a text below the threshold, as array<bigint>."""
-    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    # binding the words to a lambda's variable splits the text once, not once a shingle
+    return F.get(F.transform(F.array(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))), _kept), F.lit(0))
+
+
+def _kept(words: Column) -> Column:
     last = F.greatest(F.size(words) - F.lit(WORDS - 1), F.lit(1))
-    hashed = F.when(F.size(words) > 0, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, F.lit(WORDS))))).otherwise(F.array().cast("array<bigint>"))
-    low = F.filter(hashed, lambda h: F.shiftrightunsigned(h, 64 - SCALE_BITS) == 0)
+    hashed = F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, F.lit(WORDS))))
+    low = F.filter(hashed, lambda h: (F.shiftrightunsigned(h, 64 - SCALE_BITS) == 0) & (F.size(words) > 0))
     return F.sort_array(F.array_distinct(low))
 
 

@@ -24,6 +24,8 @@ SAMPLE = 2000
 DICTIONARY_BYTES, RUN, CONTRAST, LEAST_DOCUMENTS = 16384, 5, 2.5, 4
 #: Margins in bytes that count; words longer than WINDOW characters are cut into runs that overlap by a quarter.
 THRESHOLDS, WINDOW = (1, 2, 3, 4, 5, 6, 7), 64
+#: Margins of at least WHOLE bytes also count by what share of the window they save: a word that a dictionary holds whole saves most of it.
+SHARES, WHOLE = (0.5, 0.6, 0.7, 0.8), 3
 CACHE_WORDS = 300_000
 #: zstandard finds no match in the last bytes of its input, so every window ends with these.
 _TAIL = b" " + b"\n" * 10
@@ -88,17 +90,21 @@ class Margins:
         ordinary, toxic = (len(c(data)) for c in self.compressors)
         if len(self.known) >= CACHE_WORDS:
             self.known.clear()
-        got = self.known[word] = max(0, min(ordinary - toxic, THRESHOLDS[-1]))
+        saved = max(0, min(ordinary - toxic, THRESHOLDS[-1]))
+        share = sum((ordinary - toxic) >= s * len(data) - s * len(_TAIL) - s for s in SHARES) if saved >= WHOLE else 0
+        got = self.known[word] = saved * (len(SHARES) + 1) + share
         return got
 
     def features(self, text: str | None) -> list[float]:
-        """For each threshold the number of windows that reach it, as a logarithm and as a share."""
+        """For each threshold of the margin, and of its share of the window, the number of windows that reach it, as a logarithm and as a share."""
         words, known, margin = windows(text), self.known, self.margin
-        held = [0] * (THRESHOLDS[-1] + 1)
+        kinds = len(SHARES) + 1
+        held = [0] * (THRESHOLDS[-1] + 1) * kinds
         for w in words:
             m = known.get(w)
             held[margin(w) if m is None else m] += 1
-        counts = [sum(held[t:]) for t in THRESHOLDS]
+        counts = [sum(held[t * kinds :]) for t in THRESHOLDS]
+        counts += [sum(sum(held[i + s : i + kinds]) for i in range(0, len(held), kinds)) for s in range(1, kinds)]
         return [*(math.log1p(c) for c in counts), *(c / (len(words) + 5) for c in counts)]
 
 

@@ -6,6 +6,7 @@ from .bpe import op2_bpe
 from .exact import OP6_SQL, op6_exact
 from .mixing import OP8_SQL, op8_mixing
 from .nearjoin import op10_ngram_jaccard
+from .quality import op5_quality
 from .secrets import op7_secrets
 from .sketch import op4_sketch
 from .toxic import op1_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
     "op4_sketch": op4_sketch,
+    "op5_quality": op5_quality,
     "op6_exact": op6_exact,
     "op7_secrets": op7_secrets,
     "op8_mixing": op8_mixing,

@@ -1,23 +1,52 @@
-"""The corpus pipeline: stages over the documents table, each written and reread by the next."""
+"""The corpus pipeline: stages over the documents table, each written as Parquet and reread by the next.
+
+Every stage works on all rows that its predecessor kept and returns the columns of documents; the last returns tokens.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from regionweave.llm.bpe import digest_frame, vocabulary
-from regionweave.llm.common import table
+from regionweave.llm import bpe, exact, mixing, nearjoin, toxic
+from regionweave.llm.common import durable, table
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the compression-distance classifier does not reject."""
+    return toxic.keep_clean(docs, toxic.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts, the row with the largest doc_id."""
+    return exact.deduplicate(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of similar texts, the row with the least doc_id."""
+    return nearjoin.keep_one(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of their sources takes them."""
+    return mixing.apply_mix(docs)
+
 
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of ids and decoded text."""
+    return bpe.tokens_frame(docs, bpe.vocabulary())
 
-def _tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return digest_frame(docs, vocabulary())
 
+STAGES = [("toxicity", toxicity), ("exact_dedup", exact_dedup), ("near_dedup", near_dedup), ("mixture", mixture), ("tokens", tokens)]
 
-STAGES = [("bpe", _tokens)]
+#: SQL can express neither the classifier nor the tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of a folder; what a stage gives is kept durably for the next."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = durable(docs)
     return docs

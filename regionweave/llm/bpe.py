@@ -287,6 +287,22 @@ def digest_frame(df: DataFrame, path: str, column: str = "text", key: str = "doc
     return df.select(key, column).mapInArrow(digest, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+def tokens_frame(df: DataFrame, path: str) -> DataFrame:
+    """Per row of `df`: doc_id, source, the token ids of the whole text, their number and the digests of ids and decoded text."""
+
+    def encode(batches):
+        e = encoder(path)
+        for b in batches:
+            texts = b.column(2).to_pylist()
+            ids, made = [e.encode(t) for t in texts], [e.digest(t) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.string())],
+                ["doc_id", "source", "tokens", "n_tokens", "ids_sha256", "decoded_sha256"],
+            )
+
+    return df.select("doc_id", "source", "text").mapInArrow(encode, "doc_id long, source string, tokens array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encodes and decodes every document with the public word vocabulary; one scan, no shuffle."""
     return digest_frame(table(spark, sf_dir, "documents"), vocabulary())

@@ -27,7 +27,7 @@ GOLDEN = 0.6180339887498949
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
     """Slim rows: doc_id, source, size, place (the shuffled order), kept durably so that every later step sees the same ones."""
     place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return durable(docs.select("doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), place.alias("place")))
+    return durable(docs.select("doc_id", "source", F.xxhash64("text").alias("body"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), place.alias("place")))
 
 
 #: Sources up to this number are broadcast after their count is checked; beyond it a shuffled join takes over.
@@ -67,13 +67,13 @@ def lined(rows: DataFrame) -> DataFrame:
     groups = rows.agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS))).alias("groups"))
     rows = rows.crossJoin(F.broadcast(groups))  # one row
     rows = rows.withColumn("group", F.floor(F.conv(F.substring("place", 1, 8), 16, 10).cast("long") * F.col("groups") / F.lit(1 << 32))).drop("groups")
-    inner = W.partitionBy("source", "group").orderBy("place", "doc_id", "size")
+    inner = W.partitionBy("source", "group").orderBy("place", "doc_id", "size", "body")
     rows = rows.withColumn("nth", F.row_number().over(inner)).withColumn("ahead", F.sum("size").over(inner.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
     totals = rows.groupBy("source", "group").agg(F.sum("size").alias("total"))
     outer = W.partitionBy("source").orderBy("group").rowsBetween(W.unboundedPreceding, 0)
     bases = totals.select(F.col("source").alias("s_"), F.col("group").alias("g_"), (F.sum("total").over(outer) - F.col("total")).alias("base"))
     joined = rows.join(bases, F.col("source").eqNullSafe(F.col("s_")) & (F.col("group") == F.col("g_")))
-    return joined.select("doc_id", "source", "group", "nth", "size", (F.col("base") + F.col("ahead")).alias("start"))
+    return joined.select("doc_id", "source", "body", "group", "nth", "size", (F.col("base") + F.col("ahead")).alias("start"))
 
 
 def schedule(spark: SparkSession, goals: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
@@ -108,7 +108,7 @@ def schedule(spark: SparkSession, goals: DataFrame, block: int = BLOCK_WORDS) ->
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of `docs` (columns doc_id, source, text): doc_id, source, size, source_size, target, taken."""
+    """Per row of `docs` (columns doc_id, source, text): doc_id, source, body (a hash of the text), size, source_size, target, taken."""
     spark = docs.sparkSession
     rows = sized(docs)
     goals = durable(targets(rows))
@@ -121,7 +121,21 @@ def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
     slots = schedule(spark, goals, block).select(F.col("source").alias("s_"), F.col("k").alias("k_"), "from_", "to_")
     met = touched.join(slots, F.col("source").eqNullSafe(F.col("s_")) & (F.col("k") == F.col("k_")), "left")
     words = F.greatest(F.lit(0), F.least("b", "to_") - F.greatest("a", "from_"))
-    return met.groupBy("source", "group", "nth", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("k_").isNotNull(), words)), F.lit(0)).cast("long").alias("taken")).drop("group", "nth")
+    return met.groupBy("source", "group", "nth", "doc_id", "body", "size", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("k_").isNotNull(), words)), F.lit(0)).cast("long").alias("taken")).drop("group", "nth")
+
+
+def apply_mix(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it (its words taken over its size, rounded), all columns. Rows without words stay once."""
+    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
+    verdict = mix(docs).groupBy(F.col("doc_id").alias("id_"), F.col("source").alias("from_"), F.col("body").alias("body_")).agg(F.sum(times).alias("times_"), F.count(F.lit(1)).alias("alike_"))
+    same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("from_")) & (F.xxhash64("text") == F.col("body_"))
+    joined = docs.join(verdict, same)
+    # rows alike in id, source and text share what they take; elsewhere there is one
+    single = joined.filter("alike_ = 1").withColumn("own_", F.col("times_"))
+    nth = F.row_number().over(W.partitionBy("id_", "from_", "body_").orderBy(F.lit(1)))
+    ties = joined.filter("alike_ > 1").withColumn("own_", F.floor(F.col("times_") / F.col("alike_")) + F.when(nth <= F.col("times_") % F.col("alike_"), 1).otherwise(0))
+    both = single.unionByName(ties).filter("own_ > 0")
+    return both.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("own_").cast("int")))).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

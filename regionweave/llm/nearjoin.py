@@ -256,6 +256,13 @@ def join(docs: DataFrame) -> DataFrame:
     return rows.filter("rep is not null").select("doc_id", "rep").join(told, "rep").select("doc_id", "class_id", "n_links").unionByName(plain)
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of `docs` with one document (the least doc_id) of each class, all columns. A doc_id on several rows stays where any of them stays."""
+    verdict = join(docs).withColumn("stays", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    gone = durable(verdict.groupBy(F.col("doc_id").alias("id_")).agg(F.max("stays").alias("stays")).filter("not stays").select("id_"))
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("id_")), "left_anti")
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its class and the number of its links."""
     return join(table(spark, sf_dir, "documents"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .bpe import op2_bpe
+from .chat import op3_chat
 from .exact import OP6_SQL, op6_exact
 from .linededup import OP9_SQL, op9_line_templates
 from .mixing import OP8_SQL, op8_mixing
@@ -15,6 +16,7 @@ from .toxic import op1_toxicity
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe": op2_bpe,
+    "op3_chat": op3_chat,
     "op4_sketch": op4_sketch,
     "op5_quality": op5_quality,
     "op6_exact": op6_exact,

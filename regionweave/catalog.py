@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import relations
+from .plans import relations, structures
 
-MODULES = (relations,)
+MODULES = (relations, structures)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:

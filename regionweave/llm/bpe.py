@@ -13,7 +13,9 @@ import re
 import unicodedata
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -25,8 +27,8 @@ PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Spa
 #: str.split() also parts at these, which are not white space to the vocabulary's normaliser.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
-#: Distinct words kept per worker; the cache is emptied when it is full.
-CACHE_WORDS = 400_000
+#: Distinct words (and pre-tokens) kept per task; the cache is emptied when it is full and when the task ends, so idle workers hold none.
+CACHE_WORDS = 150_000
 #: Words longer than this bypass the cache, so that its size is bounded in bytes too.
 CACHE_CHARS = 64
 
@@ -198,11 +200,16 @@ class Encoder:
         """Token ids of a text; null is empty."""
         return [int(i) for ids, _, _ in self._parts(text or "") for i in ids.split(" ")]
 
-    def digest(self, text: str | None) -> tuple[int, str, str]:
-        """Number of tokens, SHA-256 of the ids joined by a space, and of what `surface_text` gives for them."""
+    def digest(self, text: str | None) -> tuple[int, str, str, str]:
+        """Number of tokens, SHA-256 of the ids joined by a space, and of what `surface_text` gives for them; and the joined ids."""
         parts = list(self._parts(text or ""))
         ids, said = (" ".join([p[k] for p in parts]) for k in (0, 1))
-        return sum([p[2] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest()
+        return sum([p[2] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest(), ids
+
+    def forget(self) -> None:
+        """Empties the caches."""
+        self.words.clear()
+        self.pieces.clear()
 
 
 class Decoder:
@@ -267,6 +274,7 @@ def encode_frame(df: DataFrame, path: str, column: str = "text", out: str = "tok
         for b in batches:
             ids = pa.array([e.encode(t) for t in b.column(column).to_pylist()], pa.list_(pa.field("element", pa.int32(), False)))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), ids], [f.name for f in schema.fields])
+        e.forget()
 
     return df.mapInArrow(encode, schema)
 
@@ -282,6 +290,7 @@ def digest_frame(df: DataFrame, path: str, column: str = "text", key: str = "doc
                 [b.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.string())],
                 [key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        e.forget()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, column).mapInArrow(digest, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -293,12 +302,15 @@ def tokens_frame(df: DataFrame, path: str) -> DataFrame:
     def encode(batches):
         e = encoder(path)
         for b in batches:
-            texts = b.column(2).to_pylist()
-            ids, made = [e.encode(t) for t in texts], [e.digest(t) for t in texts]
+            made = [e.digest(t) for t in b.column(2).to_pylist()]
+            ids = pc.split_pattern(pa.array([m[3] for m in made], pa.string()), " ")
+            flat = ids.values.filter(pc.not_equal(ids.values, "")).cast(pa.int32())
+            ends = np.concatenate([[0], np.cumsum([m[0] for m in made])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32())), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.string())],
+                [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.string())],
                 ["doc_id", "source", "tokens", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        e.forget()
 
     return df.select("doc_id", "source", "text").mapInArrow(encode, "doc_id long, source string, tokens array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

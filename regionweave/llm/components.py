@@ -37,7 +37,7 @@ def _thin(batches):
 def components(links: DataFrame) -> DataFrame:
     """Per node of `links` (a long, b long): node and label, the least node of its component.
 
-    Links are first thinned to forests within each batch. A round gives every node the least label of its neighbours and then its label's label, so rounds grow with the logarithm of a component's width; each round's labels are kept durably. Null ends are ignored.
+    Links are first thinned to forests within each batch. A round gives every node, and the node that its label names, the least label of its neighbours, and then every node its label's label, so rounds grow with the logarithm of a component's size; each round's labels are kept durably. Null ends are ignored.
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a is not null and b is not null and a <> b")
     links = links.mapInArrow(_thin, "a long, b long")
@@ -45,7 +45,9 @@ def components(links: DataFrame) -> DataFrame:
     labels = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("low"))
-        moved = durable(labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label")))
+        told = durable(labels.join(near, "node"))  # a node's best news goes to the node and to the one that its label names
+        best = told.select("node", "low").unionByName(told.select(F.col("label").alias("node"), "low")).groupBy("node").agg(F.min("low").alias("low"))
+        moved = durable(labels.join(best, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label")))
         up = moved.select(F.col("node").alias("label"), F.col("label").alias("higher"))
         new = durable(moved.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("higher", "label")).alias("label")))
         labels = new.select("node", "label")

@@ -185,18 +185,21 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, all columns. The slim verdict decides by doc_id and digest; rows equal in both are told apart by their number."""
+    """The rows of `docs` that stay, all columns. Rows that share both doc_id and text are told apart only by their number; one of them stays."""
     from pyspark.sql import Window as W
 
-    gone = duplicates(docs).filter(~F.col("kept"))
-    lost = gone.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("lost_"))
+    stays, goes = F.count_if(F.col("kept")), F.count_if(~F.col("kept"))
+    slim = duplicates(docs).groupBy(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("was_")).agg(stays.alias("stays_"), goes.alias("goes_")).filter("goes_ > 0")
+    slim = durable(slim)
     named = docs.withColumn("sha_", F.sha2(F.coalesce("text", F.lit("")), 256))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (F.col("sha_") == F.col("was_"))
-    joined = named.join(lost.withColumnsRenamed({"doc_id": "id_", "text_sha256": "was_"}), same, "left")
-    clean = joined.filter(F.col("lost_").isNull())
+    clean = named.join(slim.select("id_", "was_"), same, "left_anti").select(*docs.columns)
+    ties = slim.filter("stays_ > 0")
+    if ties.isEmpty():
+        return clean
     nth = F.row_number().over(W.partitionBy("id_", "was_").orderBy(F.lit(1)))
-    ties = joined.filter(F.col("lost_").isNotNull()).withColumn("nth_", nth).filter(F.col("nth_") > F.col("lost_")).drop("nth_")
-    return clean.unionByName(ties).select(*docs.columns)
+    one = named.join(ties, same).withColumn("nth_", nth).filter("nth_ <= stays_").select(*docs.columns)
+    return clean.unionByName(one)
 
 
 def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,7 +100,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     words = docs.sparkSession.sparkContext.broadcast(bloom(wanted.select(F.col("rep").alias("doc_id"))))
 
     def cut(batches):
-        bits = np.frombuffer(words.value, np.uint8)
+        bits, sent = np.frombuffer(words.value, np.uint8), set()  # what this task has sent: copies go out once
         for b in batches:
             reps, shingles = [], []
             for _, _, sets in _sets(b.column(0)):
@@ -108,8 +108,11 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 hit = np.ones(len(ids), bool)
                 for at in _bits(ids):
                     hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                reps += ids[hit].tolist()
-                shingles += [s.tobytes() for s, ok in zip(sets, hit, strict=True) if ok]
+                for rep, s, ok in zip(ids.tolist(), sets, hit, strict=True):
+                    if ok and rep not in sent:
+                        sent.add(rep)
+                        reps.append(rep)
+                        shingles.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(shingles, pa.binary())], ["rep", "shingles"])
 
     found = docs.select("text").mapInArrow(cut, "rep long, shingles binary")

@@ -26,7 +26,7 @@ DICTIONARY_BYTES, RUN, CONTRAST, LEAST_DOCUMENTS = 16384, 5, 2.5, 4
 THRESHOLDS, WINDOW = (1, 2, 3, 4, 5, 6, 7), 64
 #: Margins of at least WHOLE bytes also count by what share of the window they save: a word that a dictionary holds whole saves most of it.
 SHARES, WHOLE = (0.5, 0.6, 0.7, 0.8), 3
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 #: zstandard finds no match in the last bytes of its input, so every window ends with these.
 _TAIL = b" " + b"\n" * 10
 

@@ -177,7 +177,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
 
 def _faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = fx.flows(spark, sf_dir)
-    return f.selectExpr("edge", "concat('f', explode(array((tail + head) % 50, (tail * 3 + head) % 50, (tail + 2 * head) % 50))) as face", "case when head % 2 = 0 then 1 else -1 end as sign")
+    return f.selectExpr("edge", "explode(transform(array((tail + head) % 50, (tail * 3 + head) % 50, (tail + 2 * head) % 50), k -> concat('f', k))) as face", "case when head % 2 = 0 then 1 else -1 end as sign")
 
 
 _DIV = f"""{fx.FLOWS_SQL}, div AS (SELECT v.range AS vertex, CAST(coalesce(sum(w), 0) AS BIGINT) AS value FROM range(40) v

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import relations, structures
+from .plans import relations, specs, structures
 
-MODULES = (relations, structures)
+MODULES = (relations, structures, specs)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:

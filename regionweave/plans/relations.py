@@ -196,14 +196,15 @@ def _algebra_query(a: al.Algebra) -> None:
     query(f"SELECT mask, {conv} AS converse, array_to_string({_names_sql(a)}, ',') AS names, bit_count(mask) = 1 AS base, mask AS again FROM (SELECT CAST(range AS INT) AS mask FROM range({a.universal + 1}))")(masks)
 
     def composed(spark: SparkSession, sf_dir: str) -> DataFrame:
-        few = a.masks(spark) if a is not ALLEN else a.masks(spark).filter("bit_count(mask) <= 2")
-        x, y = few.withColumnRenamed("mask", "m1"), few.withColumnRenamed("mask", "m2")
-        return x.crossJoin(F.broadcast(y)).select("m1", "m2", a.compose(F.col("m1"), F.col("m2")).alias("composed"))  # at most 256 rows a side
+        x, y = a.masks(spark).withColumnRenamed("mask", "m1"), a.masks(spark).withColumnRenamed("mask", "m2")
+        y = y.filter(a.is_base(F.col("m2"))) if a is ALLEN else y
+        return x.crossJoin(F.broadcast(y)).select("m1", "m2", a.compose(F.col("m1"), F.col("m2")).alias("composed"))  # at most 256 rows
 
     composed.__name__ = f"{a.name}_compose"
-    few = "" if a is not ALLEN else " WHERE bit_count(range) <= 2"
-    query(f"""WITH {a.table_sql()}, m AS (SELECT CAST(range AS INT) AS m FROM range({a.universal + 1}){few})
-SELECT x.m AS m1, y.m AS m2, CAST(coalesce(bit_or(c), 0) AS INT) AS composed FROM m x CROSS JOIN m y LEFT JOIN comp ON (x.m & a) <> 0 AND (y.m & b) <> 0 GROUP BY 1, 2""")(composed)
+    # composition is a union over base relations, so Allen's 8192 masks are composed with each of the 13
+    base = " WHERE bit_count(m) = 1" if a is ALLEN else ""
+    query(f"""WITH {a.table_sql()}, m AS (SELECT CAST(range AS INT) AS m FROM range({a.universal + 1})), n AS (SELECT m FROM m{base})
+SELECT x.m AS m1, y.m AS m2, CAST(coalesce(bit_or(c), 0) AS INT) AS composed FROM m x CROSS JOIN n y LEFT JOIN comp ON (x.m & a) <> 0 AND (y.m & b) <> 0 GROUP BY 1, 2""")(composed)
 
 
 for _a in (RCC8, RCC5, ALLEN):

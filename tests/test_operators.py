@@ -23,7 +23,7 @@ BOX = "region long, x0 long, x1 long, y0 long, y1 long"
 def test_every_pair_has_one_relation_and_all_routes_agree(spark):
     ends = [(a, b) for a in range(-1, 5) for b in range(a + 1, 6)]
     rows = [(i, *x, *y) for i, (x, y) in enumerate(product(ends, repeat=2))]
-    one = spark.createDataFrame([(-1, 0, 4, 0, 4)], BOX)
+    one = spark.createDataFrame([(-1, 0, 3, 0, 3)], BOX)
     pairs = bx.all_pairs(one.unionByName(spark.createDataFrame(rows, BOX))).filter("a = -1")
     got = bx.de9im(bx.rectangles(bx.relations(pairs))).select("mask", rcc8_of_rect(F.col("ax"), F.col("ay")).alias("rect"), bx.rcc8_of_de9im().alias("nine"), "contact").collect()
     assert len(got) == len(rows) and {r.mask for r in got} == {1 << i for i in range(8)}
@@ -141,7 +141,7 @@ def test_spec_edits(spark):
     d = spark.createDataFrame([("s", "g1", "c1"), ("s", "g2", "c2"), ("s", "g3", "no")], "spec string, id string, target string")
     assert {r.id: r.outcome for r in sp.ground(c, d).collect()} == {"g1": "grounded", "g2": "refused_invariant", "g3": "unknown_target"}
     chain = spark.range(1).select(sp.effect_faults(F.array(*map(F.lit, ("path_consistency", "solve", "affine_map", "distance", "fly")))).alias("f")).first().f
-    assert [(f.index, f.kind) for f in chain] == [(3, "missing-requirement"), (4, "unknown-operation")]
+    assert [(f["index"], f["kind"]) for f in chain] == [(3, "missing-requirement"), (4, "unknown-operation")]
 
 
 def test_codec(spark):
@@ -168,3 +168,15 @@ def test_entry_without_training_data():
     code = "import sys; sys.modules['corpus_pipeline'] = None; import __spark_entry__ as e; q = e.queries(); assert 'rcc8_hist' in q and 'pipeline' not in q"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     assert done.returncode == 0, done.stderr
+
+
+def test_streamed_specifications(spark, tmp_path):
+    from regionweave.streaming.specs import run_stream
+
+    schema = "spec string, scenario string, kind string, id string, a string, b string, value int"
+    rows = spark.createDataFrame([("s", "s0", "c", "c1", "A", "B", 2), ("t", "s0", "c", "c1", "A", "B", 1), ("t", "s0", "c", "c2", "A", "B", 2)], schema)
+    rows.write.parquet(str(tmp_path / "in"))
+    got = {}
+    q = run_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda df, n: got.update({r.spec: r.status for r in df.collect()}), str(tmp_path / "checkpoint"))
+    q.awaitTermination(120)
+    assert got == {"s": "realized_in_selected_domain_D", "t": "inconsistent"}

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import table
+from .common import portions, table
 
 #: Pre-tokens of the vocabulary file: contractions, letters, one number, other symbols.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -267,11 +267,12 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 def encode_frame(df: DataFrame, path: str, column: str = "text", out: str = "tokens") -> DataFrame:
     """`df` with the token ids of `column` as an array column `out` (which replaces a column of that name)."""
     kept = [f for f in df.schema.fields if f.name != out]
+    place = df.columns.index(column)
     schema = T.StructType([*kept, T.StructField(out, T.ArrayType(T.IntegerType(), False))])
 
     def encode(batches):
         e = encoder(path)
-        for b in batches:
+        for b in portions(batches, place):
             ids = pa.array([e.encode(t) for t in b.column(column).to_pylist()], pa.list_(pa.field("element", pa.int32(), False)))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), ids], [f.name for f in schema.fields])
         e.forget()
@@ -284,7 +285,7 @@ def digest_frame(df: DataFrame, path: str, column: str = "text", key: str = "doc
 
     def digest(batches):
         e = encoder(path)
-        for b in batches:
+        for b in portions(batches, 1):
             made = [e.digest(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.string())],
@@ -301,7 +302,7 @@ def tokens_frame(df: DataFrame, path: str) -> DataFrame:
 
     def encode(batches):
         e = encoder(path)
-        for b in batches:
+        for b in portions(batches, 2):
             made = [e.digest(t) for t in b.column(2).to_pylist()]
             ids = pc.split_pattern(pa.array([m[3] for m in made], pa.string()), " ")
             flat = ids.values.filter(pc.not_equal(ids.values, "")).cast(pa.int32())

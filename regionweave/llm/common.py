@@ -91,3 +91,14 @@ def shingle_hashes(texts: pa.Array, k: int = 5) -> tuple[np.ndarray, np.ndarray]
     for j in range(k):
         total = total * _STEP + np.where(j < size, padded[first + j], np.uint64(0))
     return mix64(total + size.astype(np.uint64)), out
+
+
+def portions(batches, column: int, most: int = 4_000_000):
+    """Batches cut so that the texts of `column` take about `most` bytes each: Python copies of texts stay small however many rows a batch has. Memory that the cuts leave unused goes back when the task ends."""
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False)
+        for start, end in slices(lengths + 64, most):
+            yield b.slice(start, end - start)
+        if not b.num_rows:
+            yield b
+    pa.default_memory_pool().release_unused()

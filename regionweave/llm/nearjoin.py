@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, mix64, shingle_hashes, slices, table
+from .common import durable, mix64, portions, shingle_hashes, slices, table
 from .components import components, spanning
 from .exact import _bits, bloom
 
@@ -64,7 +64,7 @@ def signatures(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _sets(texts: pa.Array):
     """For row ranges of a batch: first row, rows with words, and the sorted distinct shingle hashes of each."""
     lengths = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
-    for start, end in slices(lengths, 4_000_000):
+    for start, end in slices(lengths, 2_000_000):
         h, at = shingle_hashes(texts.slice(start, end - start), WORDS)
         rows = np.flatnonzero(np.diff(at))
         yield start, rows, [np.unique(h[at[i] : at[i + 1]]) for i in rows]
@@ -80,7 +80,7 @@ def signed(docs: DataFrame) -> DataFrame:
     """Per row of `docs`: doc_id, rep (the identity of its shingle set; null without words), n (the set's size), values (MinHash values as bytes)."""
 
     def sign(batches):
-        for b in batches:
+        for b in portions(batches, 1):
             ids, texts = b.column(0), b.column(1)
             reps, sizes, values = [None] * b.num_rows, [0] * b.num_rows, [None] * b.num_rows
             for start, rows, sets in _sets(texts):
@@ -101,7 +101,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def cut(batches):
         bits, sent = np.frombuffer(words.value, np.uint8), set()  # what this task has sent: copies go out once
-        for b in batches:
+        for b in portions(batches, 0):
             reps, shingles = [], []
             for _, _, sets in _sets(b.column(0)):
                 ids = np.array([_identity(s) for s in sets], np.int64)

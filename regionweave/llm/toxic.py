@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import portions, table
 from .learning import Logistic, held_out, labelled_sample
 
 #: Labelled documents of each class to learn from, at most.
@@ -153,7 +153,7 @@ def score_frame(docs: DataFrame, model: Model, column: str = "text", key: str =
 
     def score(batches):
         scorer = model.scorer()
-        for b in batches:
+        for b in portions(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scorer(b.column(1).to_pylist()), pa.float64())], [key, "score"])
 
     return docs.select(key, column).mapInArrow(score, f"`{key}` {docs.schema[key].dataType.simpleString()}, score double")
@@ -161,12 +161,12 @@ def score_frame(docs: DataFrame, model: Model, column: str = "text", key: str =
 
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The rows of `docs` whose score lies below the threshold, all columns."""
-    schema = docs.schema
+    schema, place = docs.schema, docs.columns.index("text")
 
     def keep(batches):
         scorer = model.scorer()
-        for b in batches:
-            texts = b.column(b.schema.get_field_index("text")).to_pylist()
+        for b in portions(batches, place):
+            texts = b.column(place).to_pylist()
             yield b.filter(pa.array(scorer(texts) < threshold, pa.bool_()))
 
     return docs.mapInArrow(keep, schema)

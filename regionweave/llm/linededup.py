@@ -10,40 +10,44 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import durable, table
 
 LEAD, LEAST_WORDS, MIN_DOCUMENTS = 3, 8, 3
-WORD = r"[^\x20\x09-\x0D]+"
+SPACES, GAP = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
 #: Words with a digit, an at sign or "://" are variable fields.
 FIELD = r"[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*"
 MARK = "<*>"
 
 
+def _words(line: Column) -> Column:
+    """The words of a line, variable fields marked; a line without words gives one empty word. Few lines hold a field, so most are spared the replacement."""
+    marked = F.when(F.rlike(line, F.lit("[0-9@]|://")), F.regexp_replace(line, FIELD, MARK)).otherwise(line)
+    return F.split(F.btrim(marked, F.lit(SPACES)), GAP)
+
+
 def _keys(words: Column) -> Column:
     """The templates of a line: one for each half that may vary, or one for the whole of a short line; none without words."""
     n = F.size(words)
     rest = F.greatest(n - LEAD, F.lit(0))
     half = F.floor(rest / 2).cast("int")
-    lead = F.array_join(F.slice(words, 1, LEAD), " ")
-    first, last = F.array_join(F.slice(words, F.lit(LEAD + 1), half), " "), F.array_join(F.slice(words, F.lit(LEAD + 1) + half, F.greatest(rest - half, F.lit(0))), " ")
+    lead = F.slice(words, 1, LEAD)
+    first, last = F.slice(words, F.lit(LEAD + 1), half), F.slice(words, F.lit(LEAD + 1) + half, F.greatest(rest - half, F.lit(0)))
     long = F.array(F.xxhash64(n, lead, F.lit(1), first), F.xxhash64(n, lead, F.lit(2), last))
-    short = F.array(F.xxhash64(n, F.array_join(words, " ")))
     none = F.array().cast("array<bigint>")
-    return F.when(n == 0, none).when(n < LEAST_WORDS, short).otherwise(long)
+    return F.when(n >= LEAST_WORDS, long).when((n == 1) & (F.get(words, F.lit(0)) == ""), none).otherwise(F.array(F.xxhash64(n, words)))
 
 
 def line_keys(text: Column) -> Column:
     """Per line of a text, the templates it belongs to, as array<array<bigint>>."""
-    words = lambda line: F.regexp_extract_all(F.regexp_replace(line, FIELD, MARK), F.lit(WORD), F.lit(0))
     # a one-element array binds the words, so that they are split once
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.get(F.transform(F.array(words(line)), _keys), F.lit(0)))
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.get(F.transform(F.array(_words(line)), _keys), F.lit(0)))
 
 
 def dropped(docs: DataFrame) -> DataFrame:
     """Rows of `docs` (doc_id, text) with `gone`: the positions (from 0) of lines whose template recurs."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("body_"))
     keyed = rows.select("doc_id", "body_", F.array_distinct(F.flatten(line_keys(F.col("text")))).alias("keys"))
-    each = keyed.select("doc_id", "body_", F.explode("keys").alias("key"))
+    each = durable(keyed.select("doc_id", "body_", F.explode("keys").alias("key")))  # slim, used twice
     recurring = each.groupBy("key").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= MIN_DOCUMENTS).select(F.col("key").alias("key_"))
     hit = each.join(recurring, F.col("key") == F.col("key_"), "left_semi").groupBy("doc_id", "body_").agg(F.collect_set("key").alias("bad_"))
     hit = hit.withColumnsRenamed({"doc_id": "id_", "body_": "was_"})

@@ -11,11 +11,12 @@ import hashlib
 import json
 import re
 import unicodedata
+from array import array
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -31,6 +32,8 @@ _SPACE = regex.compile(r"\p{White_Space}+")
 CACHE_WORDS = 150_000
 #: Words longer than this bypass the cache, so that its size is bounded in bytes too.
 CACHE_CHARS = 64
+#: Words whose ids are decoded and hashed together.
+BLOCK_WORDS = 4096
 
 
 def _byte_symbols() -> list[str]:
@@ -155,26 +158,26 @@ class Encoder:
         stream = StreamingEncoder(self.table)
         return [*stream.feed(symbols), *stream.finish()]
 
-    def _piece(self, piece: str) -> tuple[str, str, int]:
-        """A pre-token's ids and surface tokens, joined by a space, and their number."""
+    def _piece(self, piece: str) -> tuple[str, int]:
+        """A pre-token's ids, joined by a space, and their number."""
         got = self.pieces.get(piece)
         if got is None:
             tokens = self._tokens(piece)
-            got = " ".join([self.text_of[t] for t in tokens]), " ".join(tokens), len(tokens)
+            got = " ".join([self.text_of[t] for t in tokens]), len(tokens)
             if len(piece) <= CACHE_CHARS:
                 if len(self.pieces) >= CACHE_WORDS:
                     self.pieces.clear()
                 self.pieces[piece] = got
         return got
 
-    def _word(self, word: str) -> tuple[str, str, int]:
-        """The word's ids and surface tokens, joined by a space, and their number."""
+    def _word(self, word: str) -> tuple[str, int]:
+        """The word's ids, joined by a space, and their number."""
         normal = self._normal(word)
         if normal.isalpha():
             got = self._piece(normal)
         else:
             made = [self._piece(p) for p in PIECES.findall(normal)]
-            got = " ".join([m[0] for m in made]), " ".join([m[1] for m in made]), sum([m[2] for m in made])
+            got = " ".join([m[0] for m in made]), sum([m[1] for m in made])
         if len(word) <= CACHE_CHARS:
             if len(self.words) >= CACHE_WORDS:
                 self.words.clear()
@@ -182,7 +185,7 @@ class Encoder:
         return got
 
     def _parts(self, text: str):
-        """Each word's ids, surface and count, in order; a special token's string counts as that token."""
+        """Each word's ids and their number, in order; a special token's string counts as that token."""
         known, word = self.words, self._word
         special = self.table.split_special
         at = 0
@@ -190,21 +193,29 @@ class Encoder:
             span = text[at : hit.start() if hit else len(text)]
             for w in _SPACE.split(span) if _SEPARATORS.search(span) else span.split():
                 got = known.get(w) or word(w)
-                if got[2]:
+                if got[1]:
                     yield got
             if hit:
-                yield str(self.table.special[hit[0]]), hit[0], 1
+                yield str(self.table.special[hit[0]]), 1
                 at = hit.end()
 
     def encode(self, text: str | None) -> list[int]:
         """Token ids of a text; null is empty."""
-        return [int(i) for ids, _, _ in self._parts(text or "") for i in ids.split(" ")]
-
-    def digest(self, text: str | None) -> tuple[int, str, str, str]:
-        """Number of tokens, SHA-256 of the ids joined by a space, and of what `surface_text` gives for them; and the joined ids."""
-        parts = list(self._parts(text or ""))
-        ids, said = (" ".join([p[k] for p in parts]) for k in (0, 1))
-        return sum([p[2] for p in parts]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(said.encode()).hexdigest(), ids
+        return [int(i) for ids, _ in self._parts(text or "") for i in ids.split(" ")]
+
+    def digest(self, text: str | None, kept: array | None = None) -> tuple[int, str, str]:
+        """Number of tokens, SHA-256 of the ids joined by a space, and of what `Decoder` gives for these ids one by one; the ids are added to `kept`."""
+        parts, decoder = self._parts(text or ""), Decoder(self.table)
+        n, coded, said = 0, hashlib.sha256(), hashlib.sha256()
+        while block := [ids for ids, _ in islice(parts, BLOCK_WORDS)]:
+            joined = " ".join(block)
+            ids = list(map(int, joined.split(" ")))
+            coded.update((" " + joined if n else joined).encode())
+            said.update("".join(map(decoder.surface, ids)).encode())
+            n += len(ids)
+            if kept is not None:
+                kept.extend(ids)
+        return n, coded.hexdigest(), said.hexdigest()
 
     def forget(self) -> None:
         """Empties the caches."""
@@ -303,9 +314,9 @@ def tokens_frame(df: DataFrame, path: str) -> DataFrame:
     def encode(batches):
         e = encoder(path)
         for b in portions(batches, 2):
-            made = [e.digest(t) for t in b.column(2).to_pylist()]
-            ids = pc.split_pattern(pa.array([m[3] for m in made], pa.string()), " ")
-            flat = ids.values.filter(pc.not_equal(ids.values, "")).cast(pa.int32())
+            kept = array("i")
+            made = [e.digest(t, kept) for t in b.column(2).to_pylist()]
+            flat = pa.array(np.frombuffer(kept, np.int32) if kept else [], pa.int32())
             ends = np.concatenate([[0], np.cumsum([m[0] for m in made])]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), b.column(1), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string()), pa.array([m[2] for m in made], pa.string())],

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,19 @@ def test_decoder_gives_text_back(encoder):
     assert "".join(map(d.text, encoder.encode(text))) + d.finish() == "naïve 日本 words 1 2 "
 
 
+def test_decoded_digest_comes_from_the_ids():
+    e = bpe.Encoder(bpe.vocabulary())
+    text = "hello naïve 日本 <|endoftext|> words 12 " * 3000
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+    for changed in (None, e.encode("hello")[0], e.table.special["<|endoftext|>"]):
+        if changed is not None:
+            e.table.surface[changed] = "an error in the map from ids to tokens"
+        kept = array("i")
+        ids = e.encode(text)
+        assert e.digest(text, kept) == (len(ids), sha(" ".join(map(str, ids))), sha(bpe.surface_text(e.table, ids)))
+        assert list(kept) == ids
+
+
 def test_encode_frame_edges(spark):
     df = spark.createDataFrame([(1, None, "old"), (2, "", "x"), (3, "hello hello", None)], "doc_id long, text string, tokens string")
     rows = {r.doc_id: r for r in bpe.encode_frame(df, bpe.vocabulary()).collect()}

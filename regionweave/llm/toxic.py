@@ -1,6 +1,6 @@
 """Toxicity by compression distance: how much shorter a window gets with a dictionary of toxic text than with one of ordinary text.
 
-Two zstandard dictionaries are trained, one on ordinary text and one on the toxic passages of toxic documents (words holding a letter run that is much commoner in toxic documents than in ordinary ones, with the rest of a document left out, since most of a toxic document is ordinary). A window is one word (a long word: overlapping runs of its characters) with its leading space. Its margin is the difference of its two compressed lengths. Counts and shares of windows whose margin reaches each threshold are calibrated to a probability on documents that the dictionaries did not see.
+Two zstandard dictionaries are made: one is trained on ordinary text, the other holds the toxic passages of toxic documents (words that are, or hold a letter run that is, much commoner in toxic documents than in ordinary ones; the rest of a document is left out, since most of a toxic document is ordinary). A window is one word (a long word: overlapping runs of its characters) with its leading space. Its margin is the difference of its two compressed lengths; SPAN words in a row are compared by the sum of their margins, none below zero. Counts and shares of windows and spans whose margin reaches each threshold are calibrated to a probability on documents that the dictionaries did not see.
 
 Learning uses at most SAMPLE labelled documents of each class, none of them held out; labels, language, source and id are no inputs of a score. Null and empty texts have no window and get the score of none. Without toxic or without ordinary examples every score is the share of toxic ones.
 """
@@ -20,8 +20,10 @@ from .learning import Logistic, held_out, labelled_sample
 
 #: Labelled documents of each class to learn from, at most.
 SAMPLE = 2000
-#: Bytes of a dictionary; letters of the runs that mark toxic passages, and how much commoner they must be (natural logarithm of the odds).
-DICTIONARY_BYTES, RUN, CONTRAST, LEAST_DOCUMENTS = 16384, 5, 2.5, 4
+#: Bytes of a dictionary; how much commoner the words and runs that mark toxic passages must be (natural logarithm of the odds), and in how many documents.
+DICTIONARY_BYTES, CONTRAST, LEAST_DOCUMENTS = 16384, 2.5, 4
+#: Letters of the runs, spaces around a word included; words in a row that are compared together, and what they must save in bytes.
+RUNS, SPAN, SPAN_THRESHOLDS = (5, 6, 7, 8), 8, (7, 14, 21, 28)
 #: Margins in bytes that count; words longer than WINDOW characters are cut into runs that overlap by a quarter.
 THRESHOLDS, WINDOW = (1, 2, 3, 4, 5, 6, 7), 64
 #: Margins of at least WHOLE bytes also count by what share of the window they save: a word that a dictionary holds whole saves most of it.
@@ -40,35 +42,58 @@ def windows(text: str | None) -> list[str]:
     return words
 
 
-def _runs(word: str) -> set[str]:
-    word = " " + word
-    return {word[i : i + RUN] for i in range(max(1, len(word) - RUN + 1))}
+def _runs(word: str, n: int) -> set[str]:
+    """The word's runs of `n` characters, with the space before it and the one after it."""
+    word = f" {word} "
+    return {word[i : i + n] for i in range(len(word) - n + 1)}
+
+
+def _marks(toxic: list[set[str]], ordinary: list[set[str]]) -> set[str]:
+    """Whole words and letter runs that are much commoner in toxic documents than in ordinary ones; documents are sets of words.
+
+    Lengths are taken in turn: a run can only be in LEAST_DOCUMENTS documents if its beginning is, so few runs are held.
+    """
+
+    def marking(pieces, common: set[str] | None = None) -> tuple[set[str], set[str]]:
+        counts: Counter = Counter()
+        for words in toxic:
+            counts.update({r for r in pieces(words) if common is None or r[:-1] in common})
+        enough = {r for r, n in counts.items() if n >= LEAST_DOCUMENTS}
+        other: Counter = Counter()
+        for words in ordinary:
+            other.update(enough.intersection(pieces(words)))
+        # less one standard error, so that few documents need a clearer difference
+        odds = lambda r: math.log((counts[r] + 0.5) / (len(toxic) + 1)) - math.log((other[r] + 0.5) / (len(ordinary) + 1)) - math.sqrt(1 / (counts[r] + 0.5) + 1 / (other[r] + 0.5))
+        return {r for r in enough if odds(r) > CONTRAST}, enough
+
+    marks, _ = marking(lambda words: {f" {w} " for w in words})
+    common = None
+    for n in RUNS:
+        found, common = marking(lambda words, n=n: set().union(*(_runs(w, n) for w in words)), common)
+        marks |= found
+    return marks
 
 
 def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     """Contents of the toxic and the ordinary dictionary."""
     import zstandard as z
 
-    seen = []
-    for texts in (toxic, ordinary):
-        counts: Counter = Counter()
-        for t in texts:
-            counts.update(set().union(*map(_runs, set(windows(t)))))
-        seen.append(counts)
-    odds = lambda r: math.log((seen[0][r] + 0.5) / (len(toxic) + 1)) - math.log((seen[1][r] + 0.5) / (len(ordinary) + 1))
-    marks = {r for r, n in seen[0].items() if n >= LEAST_DOCUMENTS and odds(r) > CONTRAST}
-    passages = [f" {w}" for t in toxic for w in windows(t) if _runs(w) & marks]
+    seen = [[set(windows(t)) for t in texts] for texts in (toxic, ordinary)]
+    marks = _marks(*seen)
+    passages = Counter(w for words in seen[0] for w in words if f" {w} " in marks or any(r in marks for n in RUNS for r in _runs(w, n)))
     plain = [f" {w}" for t in ordinary for w in windows(t)]
     lines = ["".join(plain[i : i + 12]) for i in range(0, len(plain), 12)][:60000]
 
     def trained(samples: list[str]) -> bytes:
-        data = [s.encode() for s in samples]
+        data = [s.encode("utf-8", "surrogatepass") for s in samples]
         try:
             return z.train_dictionary(DICTIONARY_BYTES, data, k=64, d=6).as_bytes()
         except z.ZstdError:  # too little text to train on: the text itself serves
             return (b"".join(data) or b" ")[-DICTIONARY_BYTES:].rjust(8, b" ")
 
-    return trained(passages), trained(lines)
+    # every passage once and the commonest last: training would leave out those of the rarer languages
+    held = "".join(f" {w}" for w, _ in sorted(passages.items(), key=lambda p: (p[1], p[0])))
+    return (held.encode("utf-8", "surrogatepass") or b" ")[-DICTIONARY_BYTES:].rjust(8, b" "), trained(lines)
 
 
 class Margins:
@@ -96,16 +121,24 @@ class Margins:
         return got
 
     def features(self, text: str | None) -> list[float]:
-        """For each threshold of the margin, and of its share of the window, the number of windows that reach it, as a logarithm and as a share."""
+        """For each threshold of the margin of a word, of its share of the word, and of the margin of SPAN words in a row, how many reach it, as a logarithm and as a share; and how many distinct words reach WHOLE."""
         words, known, margin = windows(text), self.known, self.margin
         kinds = len(SHARES) + 1
-        held = [0] * (THRESHOLDS[-1] + 1) * kinds
+        codes = []
         for w in words:
             m = known.get(w)
-            held[margin(w) if m is None else m] += 1
-        counts = [sum(held[t * kinds :]) for t in THRESHOLDS]
-        counts += [sum(sum(held[i + s : i + kinds]) for i in range(0, len(held), kinds)) for s in range(1, kinds)]
-        return [*(math.log1p(c) for c in counts), *(c / (len(words) + 5) for c in counts)]
+            codes.append(margin(w) if m is None else m)
+        found = np.array(codes, np.int64)
+        held = np.bincount(found, minlength=(THRESHOLDS[-1] + 1) * kinds)
+        counts = [int(held[t * kinds :].sum()) for t in THRESHOLDS]
+        by_share = held.reshape(-1, kinds).sum(0)
+        counts += [int(by_share[s:].sum()) for s in range(1, kinds)]
+        saved = found // kinds
+        total = np.concatenate([np.zeros(1, np.int64), np.cumsum(saved)])
+        spans = total[SPAN:] - total[:-SPAN] if len(words) > SPAN else total[-1:]
+        counts += [int((spans >= t).sum()) for t in SPAN_THRESHOLDS]
+        distinct = len({words[i] for i in np.flatnonzero(saved >= WHOLE)})
+        return [*(math.log1p(c) for c in counts), *(c / (len(words) + 5) for c in counts), math.log1p(distinct)]
 
 
 class Model:

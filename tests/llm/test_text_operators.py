@@ -156,6 +156,14 @@ def test_toxicity_on_held_out_rows(spark):
     assert sorted(len(r.text or "") for r in toxic.keep_clean(odd, model).collect()) == [0, 0, 5000]
 
 
+def test_toxic_passages_by_whole_words_and_longer_runs():
+    plain = [f"zorpal nachlich {i} achli chlic hlichn words" for i in range(60)]
+    foul = [f"zorp achlich{c} {i} words" for i, c in enumerate("abcdefghij" * 2)]
+    held, _ = toxic.train_dictionaries(foul, plain)
+    assert b" zorp" in held and all(f" achlich{c}".encode() in held for c in "abcdefghij")
+    assert b" words" not in held
+
+
 def test_toxicity_without_examples(spark):
     model = toxic.Model([])
     model.shift(0, 0)

@@ -1,6 +1,6 @@
 """Secret scan: a keyword automaton finds where a secret could start, anchored expressions look only there, and kinds with an embedded checksum must pass it.
 
-Base kinds: assign, access, hex. Added kinds carry their own proof: `forge` and `registry` tokens end in a base-62 CRC-32 of their body, `card` numbers obey the Luhn rule, `iban` numbers leave 1 modulo 97. Spans are code points, end exclusive. Null and empty texts have no spans. Overlaps of different kinds stay.
+Base kinds: assign, access, hex. Added kinds carry their own proof: `forge` and `registry` tokens end in a base-62 CRC-32 of their body, `card` numbers obey the Luhn rule, `iban` numbers leave 1 modulo 97. Where numbers stand side by side, every row of whole groups that has a fitting length is tried, the longest first, since a card may be followed by its expiry date or an account by a bank's code. Spans are code points, end exclusive. Null and empty texts have no spans. Overlaps of different kinds stay.
 """
 
 from __future__ import annotations
@@ -31,7 +31,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 FORGE = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 REGISTRY = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,18}(?![0-9])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 #: Keywords by the kind they announce; matched in lower case, then checked by the anchored expression.
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access"} | {f"gh{c}_": "forge" for c in "pousr"} | {"npm_": "registry"}
@@ -128,22 +127,44 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
 
 
 _LONG_NUMBER = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}")
+_DIGITS = re.compile("[0-9]+")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[ A-Z0-9])")
 
 
+def _cards(text: str, start: int, end: int):
+    """Card numbers in a run of digit groups: from every group on, the longest row of whole groups that passes."""
+    groups = [(m.start(), m[0], m.end()) for m in _DIGITS.finditer(text, start, end)]
+    i = 0
+    while i < len(groups):
+        digits, passed = "", None
+        for j in range(i, len(groups)):
+            if len(digits) + len(groups[j][1]) > 19:
+                break
+            digits += groups[j][1]
+            if len(digits) >= 13 and luhn(digits) and len(set(digits)) > 1:
+                passed = j
+        if passed is None:
+            i += 1
+        else:
+            yield "card", groups[i][0], groups[passed][2]
+            i = passed + 1
+
+
 def _numbers(text: str, flat: bytes):
     """Card and account numbers, only where two decimal digits stand side by side."""
     if b"dd" not in flat.translate(_RUN_DIGIT):
         return
     for hit in _LONG_NUMBER.finditer(text):
-        m = CARD.match(text, hit.start())
-        digits = re.sub("[ -]", "", m[0]) if m else ""
-        if m and 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 1:
-            yield "card", m.start(), m.end()
+        yield from _cards(text, hit.start(), hit.end())
     for hit in _ACCOUNT.finditer(text):
         m = IBAN.match(text, hit.start())
-        if m and iban(m[0]):
-            yield "iban", m.start(), m.end()
+        # shorter ones end before a space
+        end = m.end() if m else hit.start()
+        while end > hit.start():
+            if iban(text[hit.start() : end]):
+                yield "iban", hit.start(), end
+                break
+            end = text.rfind(" ", hit.start(), end)
 
 
 def _join(found) -> str:

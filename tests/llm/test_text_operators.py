@@ -113,6 +113,18 @@ def test_checksums_decide():
     assert secrets.redact("secret: abcdefgh!") == "[assign]!"
 
 
+def test_checksums_are_tried_on_every_row_of_groups():
+    card, account = "4111111111111111", "DE89 3704 0044 0532 0130 00"
+    for before, number, after in [("", "4111 1111 1111 1111", " 123"), ("", card, " 12/27"), ("order 7 ", card, ""), ("7 ", card, " 5500-0055-5555-5559")]:
+        text = before + number + after
+        cards = [text[a:b] for k, a, b in secrets.spans(text) if k == "card"]
+        assert cards[0] == number and cards[1:] == re.findall("5500[-0-9]+", after)
+    for before, after in [("", " BIC COBADEFF"), ("to ", " 12"), ("", " X"), ("", "")]:
+        text = before + account + after
+        assert [text[a:b] for k, a, b in secrets.spans(text) if k == "iban"] == [account]
+    assert [s for s in secrets.spans("41111111111111112345 and 4111 1111 1111 1112") if s[0] == "card"] == []
+
+
 def test_viterbi_equals_enumeration(spark):
     model = chat.Model([chat.labelled([("user", "a question?\nmore"), ("assistant", "long " * 20)], s) for s in chat.STYLES])
     lines = ["User: hi", "what?", "", "- item"]

@@ -82,7 +82,7 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
     marks = _marks(*seen)
     passages = Counter(w for words in seen[0] for w in words if f" {w} " in marks or any(r in marks for n in RUNS for r in _runs(w, n)))
     plain = [f" {w}" for t in ordinary for w in windows(t)]
-    lines = ["".join(plain[i : i + 12]) for i in range(0, len(plain), 12)][:60000]
+    lines = ["".join(plain[i : i + 12]) for i in range(0, len(plain), 12)]
 
     def trained(samples: list[str]) -> bytes:
         data = [s.encode("utf-8", "surrogatepass") for s in samples]

@@ -176,6 +176,19 @@ def test_toxic_passages_by_whole_words_and_longer_runs():
     assert b" words" not in held
 
 
+def test_ordinary_dictionary_sees_all_ordinary_lines(monkeypatch):
+    import zstandard
+
+    class Made:
+        def as_bytes(self):
+            return b"12345678"
+
+    seen = []
+    monkeypatch.setattr(zstandard, "train_dictionary", lambda size, data, **_: seen.append(len(data)) or Made())
+    toxic.train_dictionaries(["foul words"], ["word " * 12 * 31_000] * 2)
+    assert seen[-1] == 62_000
+
+
 def test_toxicity_without_examples(spark):
     model = toxic.Model([])
     model.shift(0, 0)

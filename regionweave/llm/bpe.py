@@ -1,6 +1,6 @@
 """Byte-pair encoding as a streaming transducer with bounded lookahead, and its incremental decoder.
 
-A merge list decides how far ahead a token can still change. `MergeTable.lookahead` computes a sufficient distance from the list itself: a token is stable once that many further symbols are known, because no chain of higher-priority merges can reach back over it. `StreamingEncoder` therefore holds a bounded window of symbols, emits what is stable, and forgets it; memory does not grow with the length of a text or of a word.
+A merge list decides how far ahead a token can still change. `MergeTable.lookahead` computes a sufficient distance from the list itself: a token is stable once that many further symbols are known, because no chain of higher-priority merges can reach back over it. `StreamingEncoder` therefore holds a bounded window of symbols, emits what is stable, and forgets it; its own memory does not grow with the length of a word. `Encoder` calls it for pre-tokens above 64 bytes only, passes a pre-token's symbols as one list and keeps its tokens, so the queries' memory grows with the longest text.
 
 Null texts count as empty and give no tokens. Extra columns pass through `encode_frame`.
 """

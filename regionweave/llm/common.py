@@ -22,15 +22,63 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the cluster's shared checkpoint folder, so that a lost executor costs nothing.
 
-    The folder is the session's spark.checkpoint.dir; a local one is chosen only where that is unset (tests).
+    The folder is the session's spark.checkpoint.dir. Where that is unset, a local folder serves a local master; on a cluster executors could not share one, so the call fails.
     """
     spark = df.sparkSession
-    jsc = spark.sparkContext._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+def release(*frames: DataFrame | None) -> None:
+    """Deletes what `durable` kept of frames that nothing reads any more. Frames that were not kept are left alone."""
+    for df in frames:
+        plan = df._jdf.queryExecution().logical() if df is not None else None
+        if plan is None or plan.nodeName() != "LogicalRDD":
+            continue
+        kept = plan.rdd().getCheckpointFile()
+        if kept.isDefined():
+            jvm = df.sparkSession._jvm
+            path = jvm.org.apache.hadoop.fs.Path(kept.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def groups_of(batches, keys: int):
+    """Runs of rows with equal values in the first `keys` columns, as one table each; the batches are sorted by these columns, and a run may span batches."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        columns = [b.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        changes = np.zeros(b.num_rows, bool)
+        for c in columns:
+            changes[1:] |= c[1:] != c[:-1]
+        starts = [0, *np.flatnonzero(changes).tolist(), b.num_rows]
+        for a, e in zip(starts, starts[1:], strict=False):
+            if a == e:
+                continue
+            key = tuple(c[a] for c in columns)
+            if held and key != last:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(a, e - a))
+            last = key
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def spare_name(taken: list[str], name: str) -> str:
+    """`name`, lengthened until it clashes with no column in `taken` (names are compared without case, as Spark does)."""
+    low = {t.lower() for t in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

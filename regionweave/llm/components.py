@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, release
 
 
 def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -37,7 +37,7 @@ def _thin(batches):
 def components(links: DataFrame) -> DataFrame:
     """Per node of `links` (a long, b long): node and label, the least node of its component.
 
-    Links are first thinned to forests within each batch. A round gives every node, and the node that its label names, the least label of its neighbours, and then every node its label's label, so rounds grow with the logarithm of a component's size; each round's labels are kept durably. Null ends are ignored.
+    Links are first thinned to forests within each batch. A round gives every node, and the node that its label names, the least label of its neighbours, and then every node its label's label, so rounds grow with the logarithm of a component's size; each round's labels are kept durably. Null ends are ignored. The result is kept (`release` frees it) and has a further column, was.
     """
     links = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a is not null and b is not null and a <> b")
     links = links.mapInArrow(_thin, "a long, b long")
@@ -49,7 +49,10 @@ def components(links: DataFrame) -> DataFrame:
         best = told.select("node", "low").unionByName(told.select(F.col("label").alias("node"), "low")).groupBy("node").agg(F.min("low").alias("low"))
         moved = durable(labels.join(best, "node").select("node", F.col("label").alias("was"), F.least("label", "low").alias("label")))
         up = moved.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-        new = durable(moved.join(up, "label", "left").select("node", "was", F.least("label", F.coalesce("higher", "label")).alias("label")))
-        labels = new.select("node", "label")
-        if new.filter("label <> was").isEmpty():
+        new = durable(moved.join(up, "label", "left").select("node", F.least("label", F.coalesce("higher", "label")).alias("label"), "was"))
+        settled = new.filter("label <> was").isEmpty()
+        release(told, moved, labels)
+        labels = new
+        if settled:
+            release(both)
             return labels

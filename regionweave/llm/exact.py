@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import durable, partitions, table
 
-#: Bits of the suspects' Bloom filter: 4 MB at any size of the input. Fuller filters let more texts through and stay right.
-BLOOM_BITS = 1 << 25
+#: Bits a member of a Bloom filter, and its bits at most: a filter is broadcast, so it has a bound (16 MB). Fuller filters let more texts through and stay right.
+BITS_EACH, BLOOM_MOST = 12, 1 << 27
 _BLOOM_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 
 
@@ -128,23 +128,35 @@ def suspects(fp: DataFrame) -> DataFrame:
     return rows.groupBy("part").cogroup(answers.groupBy("part")).applyInPandas(_flag(owners), "part int, pos long, doc_id long, text_sha256 string, body string, suspect boolean")
 
 
-def _bits(ids: np.ndarray) -> list[np.ndarray]:
-    return [((ids.view(np.uint64) * np.uint64(s)) >> np.uint64(39)).astype(np.int64) for s in _BLOOM_SEEDS]
+def _bits(ids: np.ndarray, size: int) -> list[np.ndarray]:
+    """The places of ids in a filter of `size` bits, a power of two."""
+    shift = np.uint64(64 - (size.bit_length() - 1))
+    return [((ids.view(np.uint64) * np.uint64(s)) >> shift).astype(np.int64) for s in _BLOOM_SEEDS]
 
 
-def bloom(rows: DataFrame) -> bytes:
-    """Bloom filter of the column doc_id of `rows`: BLOOM_BITS bits, OR-ed from the partitions, at most 4 MB at the driver."""
+def member(words: bytes, ids: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit ids may be in a filter."""
+    bits = np.frombuffer(words, np.uint8)
+    hit = np.ones(len(ids), bool)
+    for at in _bits(ids, 8 * len(bits)):
+        hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return hit
+
+
+def bloom(rows: DataFrame, column: str) -> bytes:
+    """Bloom filter of a column of 64-bit ids (null counts as -1): as many bits as the rows need, BLOOM_MOST at most, OR-ed from the partitions."""
+    size = min(BLOOM_MOST, max(1 << 16, 1 << (BITS_EACH * rows.count()).bit_length()))
 
     def local(batches):
-        words = np.zeros(BLOOM_BITS // 8, np.uint8)
+        words = np.zeros(size // 8, np.uint8)
         for b in batches:
-            for at in _bits(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)):
+            for at in _bits(b.column(0).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), size):
                 np.bitwise_or.at(words, at >> 3, (1 << (at & 7)).astype(np.uint8))
         full = np.flatnonzero(words.view(np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(full), pa.array(words.view(np.int64)[full])], ["word", "bits"])
 
-    words = rows.select("doc_id").mapInArrow(local, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
-    out = np.zeros(BLOOM_BITS // 64, np.int64)
+    words = rows.select(column).mapInArrow(local, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toPandas()
+    out = np.zeros(size // 64, np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
     return out.tobytes()
 
@@ -152,11 +164,7 @@ def bloom(rows: DataFrame) -> bytes:
 def _maybe(filter_bits) -> object:
     @F.pandas_udf("boolean")
     def maybe(ids: pd.Series) -> pd.Series:
-        words = np.frombuffer(filter_bits.value, np.uint8)
-        hit = np.ones(len(ids), bool)
-        for at in _bits(ids.fillna(-1).to_numpy(np.int64)):
-            hit &= (words[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        return pd.Series(hit)
+        return pd.Series(member(filter_bits.value, ids.fillna(-1).to_numpy(np.int64)))
 
     return maybe
 
@@ -167,7 +175,7 @@ def duplicates(docs: DataFrame) -> DataFrame:
     one = F.lit(1).cast("long")
     alone = marked.filter(~F.col("suspect")).select("doc_id", F.col("doc_id").alias("keep_id"), one.alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
     told, group = marked.filter("suspect"), ["text_sha256", "body"]
-    words = docs.sparkSession.sparkContext.broadcast(bloom(told))
+    words = docs.sparkSession.sparkContext.broadcast(bloom(told, "doc_id"))
     # texts that may be suspects; a text let in by the filter's error has no partner below
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).filter(_maybe(words)("doc_id"))
     # byte verification: the bytes themselves are the key, so that two texts under one digest would show as two variants

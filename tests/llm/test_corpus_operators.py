@@ -85,11 +85,12 @@ def _classes(rows):
     return [(i, low.get(find(x)), links[x]) for x, (i, _) in enumerate(rows)]
 
 
-def test_near_join_with_a_crowd(spark):
+def test_near_join_with_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(nearjoin, "SPREAD_ROWS", 40)  # several blocks
     r = random.Random(2)
     base = [str(r.random()) for _ in range(90)]
     crowd = []
-    for i in range(170):  # more than one block, and more than a band may list
+    for i in range(170):  # more than one block, and more than are compared within a band
         w = list(base)
         for _ in range(r.randint(0, 4)):
             w[r.randrange(90)] = str(r.random())

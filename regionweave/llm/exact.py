@@ -5,7 +5,7 @@
 3. Owners answer each partition with a bitmap: which of its fingerprints occur elsewhere.
 4. Only rows whose fingerprint recurs (there or at home) are suspects. A bounded Bloom filter of their ids keeps other texts out of the shuffle, and suspects' texts are compared byte for byte in groups split by their full digest.
 
-Of equal texts the row with the largest doc_id stays; null texts count as empty; a null doc_id is the smallest. Among rows with equal text and doc_id one stays. No step needs all copies of a text in one task: groups are reduced by partial aggregates.
+Of equal texts the row with the largest doc_id stays; null texts count as empty; a null doc_id is the smallest. Among rows with equal text and doc_id one stays. No step needs all copies of a text in one task: groups are reduced by partial aggregates. Two different texts under one SHA-256 and one MD5 would stop the query rather than merge. Very long texts are hashed like others; an empty table gives no rows; other columns of any name are not read, or pass through.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, partitions, table
+from .common import durable, partitions, spare_name, table
 
 #: Bits a member of a Bloom filter, and its bits at most: a filter is broadcast, so it has a bound (16 MB). Fuller filters let more texts through and stay right.
 BITS_EACH, BLOOM_MOST = 12, 1 << 27
@@ -193,21 +193,20 @@ def duplicates(docs: DataFrame) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of `docs` that stay, all columns. Rows that share both doc_id and text are told apart only by their number; one of them stays."""
-    from pyspark.sql import Window as W
-
+    """The rows of `docs` that stay, all columns, whatever their names. Rows that share both doc_id and text are told apart only by their number; one of them stays."""
     stays, goes = F.count_if(F.col("kept")), F.count_if(~F.col("kept"))
-    slim = duplicates(docs).groupBy(F.col("doc_id").alias("id_"), F.col("text_sha256").alias("was_")).agg(stays.alias("stays_"), goes.alias("goes_")).filter("goes_ > 0")
-    slim = durable(slim)
-    named = docs.withColumn("sha_", F.sha2(F.coalesce("text", F.lit("")), 256))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("id_")) & (F.col("sha_") == F.col("was_"))
-    clean = named.join(slim.select("id_", "was_"), same, "left_anti").select(*docs.columns)
-    ties = slim.filter("stays_ > 0")
+    ours = spare_name(docs.columns, "verdict")
+    slim = duplicates(docs).groupBy("doc_id", "text_sha256").agg(stays.alias("stays"), goes.alias("goes")).filter("goes > 0")
+    slim = durable(slim.select(F.struct("doc_id", "text_sha256", "stays").alias(ours)))
+    held = slim[ours]
+    same = docs["doc_id"].cast("long").eqNullSafe(held["doc_id"]) & (F.sha2(F.coalesce(docs["text"], F.lit("")), 256) == held["text_sha256"])
+    clean = docs.join(slim, same, "left_anti")
+    ties = slim.filter(held["stays"] > 0)
     if ties.isEmpty():
         return clean
-    nth = F.row_number().over(W.partitionBy("id_", "was_").orderBy(F.lit(1)))
-    one = named.join(ties, same).withColumn("nth_", nth).filter("nth_ <= stays_").select(*docs.columns)
-    return clean.unionByName(one)
+    # rows alike in id and text: any one of each group, by partial aggregates
+    one = docs.join(ties, same).groupBy(ours).agg(F.any_value(F.struct(*[docs[c] for c in docs.columns])).alias("row"))
+    return clean.unionByName(one.select("row.*"))
 
 
 def op6_exact(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,62 +1,77 @@
 """Mixing sources to target weights by a low-discrepancy schedule, with DataFrame operations only.
 
-Every source's documents are put in a shuffled order and laid end to end, word by word; that line, repeated, is cut into blocks of equal length. Slots of the mix are golden-ratio points mapped through the cumulative target weights to a source; the k-th slot of a source takes the source's k-th block. A source's blocks end at its target, and what the schedule's rounding leaves over is one last, shorter or longer, block.
+Every source's documents are put in a shuffled order and laid end to end, word by word; that line is cut into blocks of equal length. Slots of the mix are golden-ratio points; a point falls into one source's part of the cumulative target weights. The k-th slot of a source takes the source's k-th block, blocks being drawn in a permuted order, each once before any is drawn again and none a third time. So the schedule alone decides what is taken: `spans` lists it, `mix` sums it up by document, `apply_mix` puts documents in the schedule's order.
 
-Targets: the sources in code-point order, null last, weigh 3, 1, 2, repeating, and share 150% of all words; none exceeds twice its source's words, the excess being shared again by weight.
+A source's share of the slots differs from its target by a few blocks at most, since the points are evenly spread; targets need not be whole blocks. Targets: the sources in code-point order, null last, weigh 3, 1, 2, repeating, and share 150% of all words; none exceeds twice its source's words, the excess being shared again by weight.
 
-Null text counts as empty, size 0 takes 0. Rows without words still appear. Rows that are equal in all columns used share their takes between them in some order. A table without words has targets of 0. The order of documents depends on doc_id and the seed alone, so reruns agree.
+Null text counts as empty, size 0 takes 0. Rows without words still appear. Rows that are equal in all columns used share their takes between them in some order. A table without words has targets of 0 and no slots. A very long text spans many blocks. The order of documents depends on doc_id (on the text where that is null) and the seed alone, so reruns agree. Other columns of any name pass through `apply_mix` untouched.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, partitions, release, spare_name, table
 
 #: A run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
-WEIGHTS, SHARE, REPEATS = (3.0, 1.0, 2.0), 1.5, 2.0
-BLOCK_WORDS = 2048
-#: Documents (or slots) that one window task orders; a source has as many groups of them as it needs.
-GROUP_ROWS = 4096
-GOLDEN = 0.6180339887498949
+WEIGHTS, SHARE, REPEATS = (3.0, 1.0, 2.0), 1.5, 2
+BLOCK_WORDS = 512
+#: Documents, or slots, that one window orders; a source has as many groups of them as it needs.
+GROUP_ROWS, RUN_SLOTS = 1024, 16384
+#: Golden-ratio steps on a grid of 2 ** 30 points.
+GRID, GOLDEN = 1 << 30, 663608941
+#: Primes that step through a source's blocks; the second where the first divides their number.
+STEPS = (1000003, 998244353)
+#: Cells of the unit interval in which points and sources meet, at least.
+CELLS = 1024
 
 
 def sized(docs: DataFrame, seed: str = "mix") -> DataFrame:
-    """Slim rows: doc_id, source, size, place (the shuffled order), kept durably so that every later step sees the same ones."""
-    place = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return durable(docs.select("doc_id", "source", F.xxhash64("text").alias("body"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), place.alias("place")))
-
-
-#: Sources up to this number are broadcast after their count is checked; beyond it a shuffled join takes over.
-BROADCAST_SOURCES = 100_000
-
-
-def _checked(goals: DataFrame) -> DataFrame:
-    """The sources' table, marked for broadcast only where its counted rows allow it."""
-    return F.broadcast(goals) if goals.count() <= BROADCAST_SOURCES else goals
+    """Slim rows: doc_id, source, body (a hash of the text), size, place (the shuffled order), kept durably so that every later step sees the same ones."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    return durable(docs.select("doc_id", "source", F.xxhash64("text").alias("body"), size.alias("size"), F.md5(F.concat(F.lit(f"{seed}:"), own)).alias("place")))
+
+
+def ordered(df: DataFrame, order: list[Column], value: str) -> DataFrame:
+    """Rows with `nth` (their place in the order, from 0) and `upto` (the sum of `value` up to and with them): by ranges of the order, then over the ranges' totals, so no task holds all rows."""
+    spark = df.sparkSession
+    ranges = df.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).withColumn("part_", F.spark_partition_id()).withColumn("at_", F.monotonically_increasing_id())
+    held = durable(ranges)
+    inner = W.partitionBy("part_").orderBy("at_")
+    rows = held.withColumn("nth_", F.row_number().over(inner) - 1).withColumn("upto_", F.sum(value).over(inner.rowsBetween(W.unboundedPreceding, 0)))
+    before = W.partitionBy(F.lit(0)).orderBy("part_").rowsBetween(W.unboundedPreceding, -1)  # a row per range
+    totals = held.groupBy("part_").agg(F.count(F.lit(1)).alias("n_"), F.sum(value).alias("sum_"))
+    totals = totals.select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("rows_"), F.coalesce(F.sum("sum_").over(before), F.lit(0)).alias("base_"))
+    out = durable(rows.join(totals, "part_").select(*df.columns, (F.col("nth_") + F.col("rows_")).alias("nth"), (F.col("upto_") + F.col("base_")).alias("upto")))
+    release(held)
+    return out
 
 
 def targets(rows: DataFrame) -> DataFrame:
-    """Per source: source_size and target. One row per source, so the ordered windows below see the list of sources, not documents."""
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    order = W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.row_number().over(order) - 1) % len(WEIGHTS) + 1).cast("int"))
-    per = per.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(REPEATS))
-    every = W.partitionBy(F.lit(0))
-    tight = W.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    # sources in the order in which they reach their cap: the first whose share of what is left lies below its cap ends them
-    before = tight.rowsBetween(W.unboundedPreceding, -1)
-    per = (
-        per.withColumn("left", F.lit(SHARE) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
-        .withColumn("left_weight", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-        .withColumn("level", F.col("left") / F.col("left_weight"))
-        .withColumn("free", F.col("level") * F.col("weight") <= F.col("cap"))
-        .withColumn("level", F.min(F.when(F.col("free"), F.struct(F.col("cap") / F.col("weight"), "source", "level"))).over(every)["level"])
-    )
-    return per.select("source", "weight", "source_size", F.least("cap", F.coalesce(F.col("level") * F.col("weight"), "cap")).alias("target"))
+    """Per source, kept: source, source_size, target, low and high (the source's part of the cumulative targets, in whole words)."""
+    per = durable(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    order = [F.col("source").asc_nulls_last()]
+    listed = ordered(per, order, "source_size")
+    weight = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.col("nth") % len(WEIGHTS) + 1).cast("int"))
+    caps = listed.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(REPEATS))).alias("cap"))
+    whole = SHARE * (caps.agg(F.sum("source_size")).first()[0] or 0)
+    # the level rises as sources reach their caps; each round is one sum over the sources
+    level, full = 0.0, -1
+    while True:
+        capped = F.col("cap") < F.lit(level) * F.col("weight")
+        held, weights, n = caps.agg(F.sum(F.when(capped, F.col("cap"))), F.sum(F.when(~capped, F.col("weight"))), F.count_if(capped)).first()
+        if n == full or not weights:
+            break
+        full, level = n, (whole - (held or 0.0)) / weights
+    target = F.least("cap", F.lit(level) * F.col("weight"))
+    goals = durable(caps.select("source", "source_size", target.alias("target"), F.round(target).cast("long").alias("words")))
+    out = durable(ordered(goals, order, "words").select("source", "source_size", "target", (F.col("upto") - F.col("words")).alias("low"), F.col("upto").alias("high")))
+    release(per, listed, goals)
+    return out
 
 
 def lined(rows: DataFrame) -> DataFrame:
@@ -76,66 +91,82 @@ def lined(rows: DataFrame) -> DataFrame:
     return joined.select("doc_id", "source", "body", "group", "nth", "size", (F.col("base") + F.col("ahead")).alias("start"))
 
 
-def schedule(spark: SparkSession, goals: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """Slots of the mix: slot, source, k (rank among its source's), from_ and to_ (words of the source's repeated line).
+def schedule(goals: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """Slots of the mix: slot, source, block (its number in the source's line). A slot whose source has no block left is none.
 
-    The number of slots follows the targets' sum. Ranks are counted in runs of GROUP_ROWS slots and then over the runs.
+    Points and sources meet in cells of the unit interval: a source lies in as many cells as it covers, and there are more cells than sources, so neither a large source nor many small ones crowd a task. Ranks are counted in runs of slots and then over the runs.
     """
-    whole = F.round("target").cast("long")
-    held = goals.withColumn("words", whole).filter("words > 0")
-    every = W.partitionBy(F.lit(0))
-    upto = W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)
-    held = held.withColumn("high", F.sum("words").over(upto) / F.sum("words").over(every)).withColumn("low", F.lag("high", 1, 0.0).over(W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())))
-    total = held.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0]
-    slots = spark.range(total // block).withColumn("point", (F.col("id") + 0.5) * F.lit(GOLDEN) % 1.0)
-    # the sources' intervals are one array (a row per source); a point finds its own by its position
-    ends = held.agg(F.array_sort(F.collect_list(F.struct("high", "source"))).alias("ends"))
-    hit = F.expr("element_at(filter(ends, e -> e.high > point or e.high >= 1.0), 1)")
-    slots = slots.crossJoin(F.broadcast(ends)).select(F.col("id").alias("slot"), hit["source"].alias("source"), F.floor(F.col("id") / GROUP_ROWS).alias("run"))
-    ranked = slots.withColumn("in_run", F.row_number().over(W.partitionBy("run", "source").orderBy("slot")))
-    runs = slots.groupBy("run", "source").agg(F.count(F.lit(1)).alias("n"))
+    spark = goals.sparkSession
+    sources, total = goals.agg(F.count(F.lit(1)), F.coalesce(F.max("high"), F.lit(0))).first()
+    cells = max(CELLS, 1 << sources.bit_length())
+    step = (F.col("id") % GRID) * F.lit(GOLDEN) % GRID
+    slots = spark.range((total + block // 2) // block).select(F.col("id").alias("slot"), ((2 * step + 1) / F.lit(2.0 * GRID)).alias("point")).withColumn("cell", F.floor(F.col("point") * cells))
+    part = goals.filter("high > low").select("source", "source_size", (F.col("low") / F.lit(float(total or 1))).alias("from_"), (F.col("high") / F.lit(float(total or 1))).alias("to_"))
+    part = part.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from_") * cells), F.least(F.floor(F.col("to_") * cells), F.lit(cells - 1)))))
+    hit = slots.join(part, "cell").filter("point >= from_ and point < to_").withColumn("run", F.floor(F.col("slot") / RUN_SLOTS)).select("slot", "source", "source_size", "run")
+    hit = durable(hit)
+    ranked = hit.withColumn("in_run", F.row_number().over(W.partitionBy("run", "source").orderBy("slot")))
     over = W.partitionBy("source").orderBy("run").rowsBetween(W.unboundedPreceding, 0)
+    runs = hit.groupBy("run", "source").agg(F.count(F.lit(1)).alias("n"))
     runs = runs.select(F.col("run").alias("r_"), F.col("source").alias("s_"), (F.sum("n").over(over) - F.col("n")).alias("before"))
-    ranked = ranked.join(runs, (F.col("run") == F.col("r_")) & F.col("source").eqNullSafe(F.col("s_"))).select("slot", "source", (F.col("before") + F.col("in_run") - 1).alias("k"))
-    counts = slots.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumnRenamed("source", "c_")
-    goal = held.select(F.col("source").alias("s_"), "words")
-    drawn = ranked.join(_checked(goal), F.col("source").eqNullSafe(F.col("s_"))).select("slot", "source", "k", (F.col("k") * block).alias("from_"), F.least((F.col("k") + 1) * block, "words").alias("to_"))
-    # what rounding leaves of a source's target, cut like the rest
-    last = goal.join(counts, F.col("s_").eqNullSafe(F.col("c_")), "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") * block < F.col("words"))
-    k = F.explode(F.sequence(F.col("n"), F.floor((F.col("words") - 1) / block))).alias("k")
-    rest = last.select("s_", "words", k).select(F.lit(total // block).alias("slot"), F.col("s_").alias("source"), "k", (F.col("k") * block).alias("from_"), F.least((F.col("k") + 1) * block, "words").alias("to_"))
-    return drawn.filter("from_ < to_").unionByName(rest)
+    ranked = ranked.join(runs, (F.col("run") == F.col("r_")) & F.col("source").eqNullSafe(F.col("s_"))).withColumn("k", F.col("before") + F.col("in_run") - 1)
+    blocks = F.ceil(F.col("source_size") / block)
+    stride = F.when(blocks % STEPS[0] == 0, STEPS[1]).otherwise(STEPS[0]) % blocks
+    drawn = ((F.col("k") % blocks).cast("decimal(19,0)") * stride.cast("decimal(19,0)") + F.floor(blocks / 2).cast("decimal(19,0)")) % blocks.cast("decimal(19,0)")
+    return ranked.filter(F.col("k") < blocks * REPEATS).select("slot", "source", drawn.cast("long").alias("block"))
+
+
+def _met(rows: DataFrame, goals: DataFrame, block: int) -> DataFrame:
+    """Rows in line with the slots that take a block they lie in: one row per document, block and slot; slot is null for a block that no slot takes and for rows without words."""
+    touched = F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("start") / block), F.floor((F.col("start") + F.col("size") - 1) / block))))
+    line = lined(rows).withColumn("block", touched)
+    slots = schedule(goals, block).select("slot", F.col("source").alias("s_"), F.col("block").alias("b_"))
+    met = line.join(slots, F.col("source").eqNullSafe(F.col("s_")) & (F.col("block") == F.col("b_")), "left")
+    begin = F.greatest(F.lit(0), F.col("block") * block - F.col("start"))
+    end = F.least("size", (F.col("block") + 1) * block - F.col("start"))
+    return met.withColumn("begin", begin).withColumn("end", end).drop("s_", "b_")
+
+
+def spans(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """The mix itself: slot, source, doc_id, start (the document's place in its source's line), begin and end (the words of the document that the slot's block holds)."""
+    rows = sized(docs)
+    return _met(rows, targets(rows), block).filter("slot is not null").select("slot", "source", "doc_id", "start", "begin", "end")
 
 
 def mix(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
-    """Per row of `docs` (columns doc_id, source, text): doc_id, source, body (a hash of the text), size, source_size, target, taken."""
-    spark = docs.sparkSession
+    """Per row of `docs` (columns doc_id, source, text): doc_id, source, body (a hash of the text), size, source_size, target, taken (words of it that the slots' blocks hold)."""
+    rows = sized(docs)
+    goals = targets(rows)
+    words = F.when(F.col("slot").isNotNull(), F.col("end") - F.col("begin"))
+    taken = _met(rows, goals, block).groupBy("source", "group", "nth", "doc_id", "body", "size").agg(F.coalesce(F.sum(words), F.lit(0)).cast("long").alias("taken"))
+    per = goals.select(F.col("source").alias("t_"), "source_size", "target")
+    return taken.join(per, F.col("source").eqNullSafe(F.col("t_"))).drop("t_", "group", "nth")
+
+
+def apply_mix(docs: DataFrame, block: int = BLOCK_WORDS) -> DataFrame:
+    """The rows of `docs` in the schedule's order, all columns: a document stands, whole, at every slot whose block holds its first word. Rows without words stay once, ahead of the others."""
     rows = sized(docs)
-    goals = durable(targets(rows))
-    per = _checked(goals.select(F.col("source").alias("t_"), "source_size", "target"))
-    line = lined(rows).join(per, F.col("source").eqNullSafe(F.col("t_"))).drop("t_")
-    # a document stands in each repeat of its source's line; the schedule's blocks that touch it are found by their number
-    rounds = F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.lit(0), F.lit(int(REPEATS) - 1)))).alias("round")
-    stood = line.select("*", rounds).withColumn("a", F.col("start") + F.col("round") * F.col("source_size")).withColumn("b", F.col("a") + F.col("size"))
-    touched = stood.select("*", F.explode_outer(F.when(F.col("size") > 0, F.sequence(F.floor(F.col("a") / block), F.floor((F.col("b") - 1) / block)))).alias("k"))
-    slots = schedule(spark, goals, block).select(F.col("source").alias("s_"), F.col("k").alias("k_"), "from_", "to_")
-    met = touched.join(slots, F.col("source").eqNullSafe(F.col("s_")) & (F.col("k") == F.col("k_")), "left")
-    words = F.greatest(F.lit(0), F.least("b", "to_") - F.greatest("a", "from_"))
-    return met.groupBy("source", "group", "nth", "doc_id", "body", "size", "source_size", "target").agg(F.coalesce(F.sum(F.when(F.col("k_").isNotNull(), words)), F.lit(0)).cast("long").alias("taken")).drop("group", "nth")
-
-
-def apply_mix(docs: DataFrame) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it (its words taken over its size, rounded), all columns. Rows without words stay once."""
-    times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(1).cast("int")
-    verdict = mix(docs).groupBy(F.col("doc_id").alias("id_"), F.col("source").alias("from_"), F.col("body").alias("body_")).agg(F.sum(times).alias("times_"), F.count(F.lit(1)).alias("alike_"))
-    same = F.col("doc_id").eqNullSafe(F.col("id_")) & F.col("source").eqNullSafe(F.col("from_")) & (F.xxhash64("text") == F.col("body_"))
-    joined = docs.join(verdict, same)
-    # rows alike in id, source and text share what they take; elsewhere there is one
-    single = joined.filter("alike_ = 1").withColumn("own_", F.col("times_"))
-    nth = F.row_number().over(W.partitionBy("id_", "from_", "body_").orderBy(F.lit(1)))
-    ties = joined.filter("alike_ > 1").withColumn("own_", F.floor(F.col("times_") / F.col("alike_")) + F.when(nth <= F.col("times_") % F.col("alike_"), 1).otherwise(0))
-    both = single.unionByName(ties).filter("own_ > 0")
-    return both.withColumn("copy_", F.explode(F.sequence(F.lit(1), F.col("own_").cast("int")))).select(*docs.columns)
+    first = _met(rows, targets(rows), block).filter("size = 0 or (begin = 0 and slot is not null)")
+    at = F.struct(F.coalesce("slot", F.lit(-1)).alias("slot"), F.coalesce("start", F.lit(0)).alias("start"))
+    takes = first.groupBy("doc_id", "source", "body").agg(F.array_sort(F.collect_list(at)).alias("takes"))  # two slots a row at most
+    alike = rows.groupBy("doc_id", "source", "body").agg(F.count(F.lit(1)).alias("alike"))
+    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & a["source"].eqNullSafe(b["source"]) & (a["body"] == b["body"])
+    verdict = takes.join(alike, same(takes, alike)).select(F.struct(takes["doc_id"], takes["source"], takes["body"], "takes", "alike").alias("mix"))
+    # everything of ours is one column with a name that `docs` does not have
+    ours = spare_name(docs.columns, "mix")
+    verdict = verdict.withColumnRenamed("mix", ours)
+    mine = verdict[ours]
+    joined = docs.join(verdict, docs["doc_id"].eqNullSafe(mine["doc_id"]) & docs["source"].eqNullSafe(mine["source"]) & (F.xxhash64(docs["text"]) == mine["body"]))
+    held = F.col(ours)
+    # rows alike in id, source and text deal the takes among them; elsewhere there is one row
+    single = joined.filter(held["alike"] == 1).withColumn(ours, held["takes"])
+    number = spare_name([*docs.columns, ours], "nth")
+    nth = F.row_number().over(W.partitionBy(held["doc_id"], held["source"], held["body"]).orderBy(F.lit(1)))
+    ties = joined.filter(held["alike"] > 1).withColumn(number, nth)
+    ties = ties.withColumn(ours, F.filter(held["takes"], lambda t, i: i % held["alike"] == F.col(number) - 1)).drop(number)
+    both = single.unionByName(ties).withColumn(ours, F.explode(ours))
+    order = [F.col(ours)["slot"], F.col(ours)["start"]]
+    return both.repartitionByRange(partitions(docs.sparkSession), *order).sortWithinPartitions(*order).select(*docs.columns)
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,10 +174,10 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-OP8_SQL = r"""
+OP8_SQL = rf"""
 WITH rows_ AS (
-  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS place
+  SELECT row_number() OVER () AS r, doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS place
   FROM documents),
 per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -159,11 +190,25 @@ step AS (
   FROM caps WINDOW before_ AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 water AS (SELECT min(level) FILTER (WHERE cap / weight = (SELECT min(cap / weight) FROM step WHERE level * weight <= cap)) AS level FROM step),
 goal AS (SELECT source, source_size, least(cap, coalesce((SELECT level FROM water) * weight, cap)) AS target FROM caps),
+part AS (
+  SELECT *, CAST(sum(words) OVER (ORDER BY source NULLS LAST) AS BIGINT) AS high, CAST(sum(words) OVER () AS BIGINT) AS total,
+         (source_size + {BLOCK_WORDS - 1}) // {BLOCK_WORDS} AS blocks
+  FROM (SELECT *, CAST(round(target) AS BIGINT) AS words FROM goal)),
+slots AS (
+  SELECT slot, (2 * ((slot % {GRID}) * {GOLDEN} % {GRID}) + 1) / {2 * GRID}.0::DOUBLE AS point
+  FROM (SELECT unnest(range((SELECT (max(total) + {BLOCK_WORDS // 2}) // {BLOCK_WORDS} FROM part))) AS slot)),
+ranked AS (
+  SELECT slot, source, blocks, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS k
+  FROM slots JOIN part ON point >= (high - words) / total::DOUBLE AND point < high / total::DOUBLE),
+taken_blocks AS (
+  SELECT source, ((k % blocks)::HUGEINT * (CASE WHEN blocks % {STEPS[0]} = 0 THEN {STEPS[1]} ELSE {STEPS[0]} END % blocks) + blocks // 2) % blocks AS block, count(*) AS times
+  FROM ranked WHERE k < blocks * {REPEATS} GROUP BY 1, 2),
 line AS (
-  SELECT r.doc_id, r.source, r.size, g.source_size, g.target, CAST(round(g.target) AS BIGINT) AS words,
-         CAST(sum(size) OVER (PARTITION BY r.source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a
-  FROM rows_ r JOIN goal g ON r.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
-       greatest(0, least(a + size, words) - a) + greatest(0, least(a + source_size + size, words) - a - source_size) AS taken
-FROM line
+  SELECT *, CAST(sum(size) OVER (PARTITION BY source ORDER BY place, doc_id, size ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS a FROM rows_),
+touched AS (SELECT r, source, size, a, unnest(range(a // {BLOCK_WORDS}, (a + size - 1) // {BLOCK_WORDS} + 1)) AS block FROM line WHERE size > 0),
+sums AS (
+  SELECT r, CAST(sum((least(a + size, (t.block + 1) * {BLOCK_WORDS}) - greatest(a, t.block * {BLOCK_WORDS})) * times) AS BIGINT) AS taken
+  FROM touched t JOIN taken_blocks b ON t.block = b.block AND t.source IS NOT DISTINCT FROM b.source GROUP BY r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, coalesce(taken, 0) AS taken
+FROM rows_ JOIN goal ON rows_.source IS NOT DISTINCT FROM goal.source LEFT JOIN sums USING (r)
 """

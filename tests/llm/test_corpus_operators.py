@@ -26,28 +26,68 @@ def test_exact_duplicates(spark):
     assert Counter(sha[r.text_sha256] for r in got if r.kept) == Counter(set(by))
     kept = exact.deduplicate(frame(spark, ODD))
     assert kept.columns == frame(spark, ODD).columns and sorted((r.text or "") for r in kept.collect()) == sorted(by)
+    odd = frame(spark, ODD).selectExpr("*", "1 as id_", "2 as was_", "'mine' as sha_", "4 as nth_", "5 as verdict", "6 as gone_id")
+    for kept in (exact.deduplicate(odd), nearjoin.keep_one(odd)):
+        assert kept.columns == odd.columns and {x.sha_ for x in kept.collect()} == {"mine"}
     assert exact.duplicates(frame(spark, ODD).limit(0)).count() == 0
 
 
+def _mix_by_hand(rows, block):
+    """Words taken of each row by the schedule, written out one slot after another."""
+    size = [len((t or "").split()) for _, t, _ in rows]
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    have = {s: sum(n for n, (*_, x) in zip(size, rows, strict=True) if x == s) for s in sources}
+    weight = {s: (3.0, 1.0, 2.0)[i % 3] for i, s in enumerate(sources)}
+    goal, free, left = {}, set(sources), 1.5 * sum(have.values())
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if 2 * have[s] < level * weight[s]}
+        for s in over or free:
+            goal[s] = 2.0 * have[s] if over else level * weight[s]
+            left -= goal[s]
+        free -= over or free
+    place = lambda i: hashlib.md5(f"mix:{rows[i][0] if rows[i][0] is not None else 'null:' + hashlib.md5((rows[i][1] or '').encode()).hexdigest()}".encode()).hexdigest()
+    line = {s: [i for i in sorted(range(len(rows)), key=lambda i: (place(i), rows[i][0] or 0, size[i])) if rows[i][2] == s for _ in range(size[i])] for s in sources}
+    words = {s: int(g + 0.5) for s, g in goal.items()}
+    total, taken, drawn = sum(words.values()), Counter(), Counter()
+    for slot in range((total + block // 2) // block):
+        point = (2 * (slot * mixing.GOLDEN % mixing.GRID) + 1) / (2 * mixing.GRID)
+        low = 0
+        for s in sources:
+            if low / total <= point < (low + words[s]) / total:
+                blocks = -(-have[s] // block)
+                if drawn[s] < 2 * blocks:
+                    at = (drawn[s] % blocks * (mixing.STEPS[0] % blocks) + blocks // 2) % blocks
+                    taken.update(line[s][at * block : (at + 1) * block])
+                drawn[s] += 1
+            low += words[s]
+    return goal, [(i, s, n, round(goal[s], 6), taken[k]) for k, ((i, _, s), n) in enumerate(zip(rows, size, strict=True))]
+
+
 def test_mixing(spark):
     r = random.Random(5)
-    rows = [(i, "w " * r.randint(0, 60)) for i in range(300)] + [(7, "w w"), (7, "w w"), (None, "a b c")]
-    df = frame(spark, rows)
-    got = mixing.mix(df, block=16).collect()
-    assert len(got) == len(rows)
-    total, per = sum(len(t.split()) for _, t in rows), Counter()
-    for x in got:
-        assert 0 <= x.taken <= 2 * x.size
-        per[x.source] += x.taken
-    goal = {x.source: x.target for x in got}
-    assert abs(sum(goal.values()) - 1.5 * total) < 1e-6
-    assert all(abs(per[s] - goal[s]) <= 1 for s in goal)
-    again = mixing.mix(df.repartition(3), block=64).collect()
-    key = lambda x: (str(x.source), str(x.doc_id), x.size, x.taken)
-    assert sorted(map(key, got)) == sorted(map(key, again))
-    out = mixing.apply_mix(df)
-    assert out.columns == df.columns and abs(sum(len(x.text.split()) for x in out.collect()) - 1.5 * total) < 400
-    assert mixing.mix(df.limit(0)).count() == 0
+    rows = [(i, "w " * r.randint(0, 60), f"s{i % 4}" if i % 4 else None) for i in range(300)] + [(900, "w w", "s1"), (900, "w w", "s1"), (None, "a b c", "s2"), (901, None, "s2"), (902, "long " * 900, "s3"), (903, "", "empty")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "doc_id as id_", "1 as times_", "'x' as mix", "2 as nth", "3 as slot")
+    key = lambda x: tuple(map(str, x))
+    seen = lambda d: sorted(((x.doc_id, x.source, x.size, round(x.target, 6), x.taken) for x in d.collect()), key=key)
+    goal, want = _mix_by_hand(rows, 16)
+    assert seen(mixing.mix(df, block=16)) == sorted(want, key=key) == seen(mixing.mix(df.repartition(3), block=16))
+    assert all(0 <= t <= 2 * n for _, _, n, _, t in want)
+    for s, g in goal.items():
+        assert abs(sum(t for _, x, _, _, t in want if x == s) - g) <= 3 * 16
+    # the schedule's blocks are what is taken, and they interleave the sources
+    spans = mixing.spans(df, block=16).collect()
+    assert sum(x.end - x.begin for x in spans) == sum(t for *_, t in want)
+    by_slot = {x.slot: x.source for x in spans}
+    half = Counter(s for k, s in by_slot.items() if k < len(by_slot) / 2)
+    assert all(abs(half[s] * 2 - n) <= 6 for s, n in Counter(by_slot.values()).items())
+    out = mixing.apply_mix(df, block=16)
+    assert out.columns == df.columns
+    copies = Counter((x.doc_id, x.source, x.text) for x in out.collect())
+    firsts = Counter((x.doc_id, x.source) for x in spans if x.begin == 0)
+    for (i, t, s), n in Counter(rows).items():
+        assert copies[i, s, t] == (n if not (t or "").split() else firsts[i, s])
+    assert mixing.mix(df.limit(0)).count() == 0 and mixing.apply_mix(df.limit(0)).count() == 0
 
 
 def _shingles(t):

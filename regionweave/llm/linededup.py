@@ -1,18 +1,21 @@
 """Line deduplication by a log-template tree of fixed depth, with DataFrame functions only.
 
-A line's place in the tree is its number of words and its first LEAD words; words that hold a digit, an at sign or a URL are variable fields from the start. Below that, lines of a leaf that agree on one half of their remaining words are one template whose other half is variable (so at least about half of a template is constant); lines under LEAST_WORDS words must agree on everything. A template found in MIN_DOCUMENTS documents or more is recurring, and its lines are dropped from all of them.
+A line's leaf in the tree is its number of words and its first LEAD words; words that hold a digit, an at sign or a URL are variable fields from the start. The rest of a line is cut into PARTS runs of words. Lines of a leaf that agree on any two runs, place by place, are one template whose other runs are variable: fields may stand in any two runs, and at least about half of a template is constant. Lines under LEAST_WORDS words must agree on everything. A template found in MIN_DOCUMENTS documents or more is recurring, and its lines are dropped from all of them; so is a line of more than LONG_WORDS words that stands whole in LONG_DOCUMENTS documents.
 
-Lines are parted by line feeds. Lines without words stay. Null text counts as empty and stays null in `clean`. Equal rows get equal results, each counting as a document. Templates are 64-bit hashes; counts are partial sums before they are shuffled, so a line that a third of all documents share costs one row a task.
+Lines are parted by line feeds. Lines without words stay. Null text counts as empty and stays null in `clean`. Rows with equal doc_id and text are one document and get equal results. An empty table gives no rows; a very long text or line is treated like others; other columns of any name are not read. Templates are 64-bit hashes. Only lines whose leaf is met twice are compared at all; counts are partial sums before they are shuffled, so a line that a third of all documents share costs one row a task.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import durable, table
 
 LEAD, LEAST_WORDS, MIN_DOCUMENTS = 3, 8, 3
+PARTS, LONG_WORDS, LONG_DOCUMENTS = 4, 50, 2
 SPACES, GAP = " \t\n\x0b\x0c\r", r"[\x20\x09-\x0D]+"
 #: Words with a digit, an at sign or "://" are variable fields.
 FIELD = r"[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*"
@@ -25,35 +28,49 @@ def _words(line: Column) -> Column:
     return F.split(F.btrim(marked, F.lit(SPACES)), GAP)
 
 
-def _keys(words: Column) -> Column:
-    """The templates of a line: one for each half that may vary, or one for the whole of a short line; none without words."""
+def _parsed(words: Column) -> Column:
+    """A line's leaf, the hashes of its runs (none for a short line), and whether it is long; null without words."""
     n = F.size(words)
     rest = F.greatest(n - LEAD, F.lit(0))
-    half = F.floor(rest / 2).cast("int")
-    lead = F.slice(words, 1, LEAD)
-    first, last = F.slice(words, F.lit(LEAD + 1), half), F.slice(words, F.lit(LEAD + 1) + half, F.greatest(rest - half, F.lit(0)))
-    long = F.array(F.xxhash64(n, lead, F.lit(1), first), F.xxhash64(n, lead, F.lit(2), last))
-    none = F.array().cast("array<bigint>")
-    return F.when(n >= LEAST_WORDS, long).when((n == 1) & (F.get(words, F.lit(0)) == ""), none).otherwise(F.array(F.xxhash64(n, words)))
-
-
-def line_keys(text: Column) -> Column:
-    """Per line of a text, the templates it belongs to, as array<array<bigint>>."""
+    cut = lambda p: F.floor(rest * p / PARTS).cast("int")
+    runs = F.array(*[F.xxhash64(F.slice(words, cut(p) + LEAD + 1, cut(p + 1) - cut(p))) for p in range(PARTS)])
+    short = n < LEAST_WORDS
+    line = F.struct(
+        F.when(short, F.xxhash64(n, words)).otherwise(F.xxhash64(n, F.slice(words, 1, LEAD))).alias("leaf"),
+        F.when(~short, runs).alias("runs"), (n > LONG_WORDS).alias("long"),
+    )
+    return F.when((n > 1) | (F.get(words, F.lit(0)) != ""), line)
+
+
+def _keys(line: Column) -> Column:
+    """The templates of a parsed line as array<struct<key, need>>: one for each two runs, one for the whole of a short or long line."""
+    key = lambda k, need: F.struct(k.alias("key"), F.lit(need).alias("need"))
+    pairs = [key(F.xxhash64(line["leaf"], F.lit(PARTS * a + b), F.get(line["runs"], F.lit(a)), F.get(line["runs"], F.lit(b))), MIN_DOCUMENTS) for a, b in combinations(range(PARTS), 2)]
+    whole = key(F.xxhash64(line["leaf"], line["runs"]), LONG_DOCUMENTS)
+    return F.when(line["runs"].isNull(), F.array(key(line["leaf"], MIN_DOCUMENTS))).when(line["long"], F.array(*pairs, whole)).otherwise(F.array(*pairs))
+
+
+def parsed_lines(text: Column) -> Column:
+    """Per line of a text, its place in the tree (null for a line without words)."""
     # a one-element array binds the words, so that they are split once
-    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.get(F.transform(F.array(_words(line)), _keys), F.lit(0)))
+    return F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda line: F.get(F.transform(F.array(_words(line)), _parsed), F.lit(0)))
 
 
 def dropped(docs: DataFrame) -> DataFrame:
     """Rows of `docs` (doc_id, text) with `gone`: the positions (from 0) of lines whose template recurs."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("body_"))
-    keyed = rows.select("doc_id", "body_", F.array_distinct(F.flatten(line_keys(F.col("text")))).alias("keys"))
-    each = durable(keyed.select("doc_id", "body_", F.explode("keys").alias("key")))  # slim, used twice
-    recurring = each.groupBy("key").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= MIN_DOCUMENTS).select(F.col("key").alias("key_"))
-    hit = each.join(recurring, F.col("key") == F.col("key_"), "left_semi").groupBy("doc_id", "body_").agg(F.collect_set("key").alias("bad_"))
+    each = rows.select("doc_id", "body_", F.explode(F.array_distinct(parsed_lines(F.col("text")))).alias("line")).filter("line is not null")
+    each = durable(each.select("doc_id", "body_", "line", F.col("line.leaf").alias("leaf")))  # slim, used twice
+    met = each.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("leaf")
+    keyed = each.join(met, "leaf", "left_semi").select("doc_id", "body_", F.explode(_keys(F.col("line"))).alias("k"))
+    keyed = durable(keyed.select("doc_id", "body_", "k.key", "k.need").distinct())
+    recurring = keyed.groupBy("key", "need").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= F.col("need")).select("key")
+    hit = keyed.join(recurring, "key", "left_semi").groupBy("doc_id", "body_").agg(F.collect_set("key").alias("bad_"))
     hit = hit.withColumnsRenamed({"doc_id": "id_", "body_": "was_"})
     joined = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("body_") == F.col("was_")), "left")
-    marked = joined.withColumn("lines_", F.when(F.col("bad_").isNotNull(), line_keys(F.col("text"))))
-    gone = F.filter(F.sequence(F.lit(0), F.size("lines_") - 1), lambda i: F.arrays_overlap(F.get("lines_", i), F.col("bad_")))
+    marked = joined.withColumn("lines_", F.when(F.col("bad_").isNotNull(), parsed_lines(F.col("text"))))
+    bad = lambda line: F.exists(_keys(line), lambda k: F.array_contains("bad_", k["key"]))
+    gone = F.filter(F.sequence(F.lit(0), F.size("lines_") - 1), lambda i: F.coalesce(bad(F.get("lines_", i)), F.lit(False)))
     return marked.select("doc_id", "text", F.coalesce(gone, F.array().cast("array<int>")).alias("gone"))
 
 
@@ -70,19 +87,20 @@ def op9_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "dropped_lines", F.sha2(F.coalesce("clean", F.lit("")), 256).alias("clean_sha256"))
 
 
-OP9_SQL = r"""
-WITH rows_ AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-lines_ AS (SELECT r, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM rows_),
+_RUN = "array_to_string(w[4 + (n - 3) * {p} // 4 : 3 + (n - 3) * ({p} + 1) // 4], ' ')"
+_PAIRS = ", ".join(f"'p{a}{b} ' || lead || {_RUN.format(p=a)} || chr(10) || {_RUN.format(p=b)}" for a, b in combinations(range(PARTS), 2))
+OP9_SQL = rf"""
+WITH rows_ AS (SELECT row_number() OVER () AS r, dense_rank() OVER (ORDER BY doc_id, md5(coalesce('t' || text, ''))) AS d, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+lines_ AS (SELECT r, d, unnest(range(len(lines))) AS i, unnest(lines) AS line FROM rows_),
 words_ AS (
-  SELECT r, i, line, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w
+  SELECT r, d, i, line, regexp_extract_all(regexp_replace(line, '[^\x20\x09-\x0D]*(?:[0-9@]|://)[^\x20\x09-\x0D]*', '<*>', 'g'), '[^\x20\x09-\x0D]+') AS w
   FROM lines_),
-sized AS (SELECT *, len(w) AS n, greatest(len(w) - 3, 0) // 2 AS h FROM words_ WHERE len(w) > 0),
+sized AS (SELECT *, len(w) AS n, len(w) || ' ' || array_to_string(w[1:3], ' ') || chr(10) AS lead FROM words_ WHERE len(w) > 0),
 keyed AS (
-  SELECT r, i, unnest(CASE WHEN n < 8 THEN ['s' || n || ' ' || array_to_string(w, ' ')]
-    ELSE ['a' || n || ' ' || array_to_string(w[1:3], ' ') || chr(10) || array_to_string(w[4:3 + h], ' '),
-          'b' || n || ' ' || array_to_string(w[1:3], ' ') || chr(10) || array_to_string(w[4 + h:], ' ')] END) AS key
+  SELECT r, d, i, unnest(CASE WHEN n < 8 THEN ['s' || n || ' ' || array_to_string(w, ' ')]
+    WHEN n > 50 THEN list_concat(['w' || array_to_string(w, ' ')], [{_PAIRS}]) ELSE [{_PAIRS}] END) AS key
   FROM sized),
-recurring AS (SELECT key FROM keyed GROUP BY key HAVING count(DISTINCT r) >= 3),
+recurring AS (SELECT key FROM keyed GROUP BY key HAVING count(DISTINCT d) >= CASE WHEN key LIKE 'w%' THEN 2 ELSE 3 END),
 gone AS (SELECT DISTINCT r, i FROM keyed WHERE key IN (SELECT key FROM recurring)),
 kept AS (
   SELECT r, string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT g) AS clean, count(*) AS n_lines, count(*) FILTER (WHERE g) AS n_dropped,

@@ -172,6 +172,17 @@ def test_line_templates(spark):
     assert linededup.clean(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_line_templates_with_fields_anywhere(spark):
+    names, days = ["Alice", "Boris", "Chloe", "Dmitri"], ["Monday", "Tuesday", "Friday", "Sunday"]
+    passage = " ".join(f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(60))
+    rows = [(i, f"This page was last edited by {names[i]} on {days[i]} at the main office\nonly in {names[i]}") for i in range(4)]
+    rows += [(10, passage), (11, f"before\n{passage}"), (12, passage.rsplit(" ", 20)[0]), (13, "Posted by someone at home"), (13, "Posted by someone at home"), (14, "Posted by someone at home")]
+    got = {r.doc_id: r for r in linededup.clean(frame(spark, rows)).collect()}
+    assert all(got[i].clean == f"only in {names[i]}" for i in range(4))
+    assert got[10].clean == "" and got[11].clean == "before" and got[12].n_dropped == 0
+    assert got[13].n_dropped == got[14].n_dropped == 0  # equal rows are one document
+
+
 def test_registry_and_pipeline_shape():
     import corpus_pipeline
     from regionweave.llm import registry

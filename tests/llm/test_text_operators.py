@@ -125,26 +125,62 @@ def test_checksums_are_tried_on_every_row_of_groups():
     assert [s for s in secrets.spans("41111111111111112345 and 4111 1111 1111 1112") if s[0] == "card"] == []
 
 
-def test_viterbi_equals_enumeration(spark):
-    model = chat.Model([chat.labelled([("user", "a question?\nmore"), ("assistant", "long " * 20)], s) for s in chat.STYLES])
-    lines = ["User: hi", "what?", "", "- item"]
-    seen = [chat.observe(x) for x in lines]
+def _chat_model():
+    examples = []
+    for style in range(len(chat.STYLES)):
+        lines = [("user", chat.written("user", "a question?\nmore", style, True, True)), ("assistant", chat.written("assistant", "long " * 20, style, style > 0, True))]
+        states = [s for r, own in lines for s in chat.states_of(r, len(own))]
+        examples.append([(s, *o) for s, o in zip(states, chat.observed([x for _, own in lines for x in own]), strict=True)])
+    return chat.Model(examples)
+
+
+def test_viterbi_equals_enumeration():
+    model = _chat_model()
+    seen = chat.observed(["User: hi", "what?", "", "- item"])
+    own = model.scores(seen)
     with np.errstate(all="ignore"):
-        score = lambda path: model.start[path[0]] + sum(model.move[a, b] for a, b in itertools.pairwise(path)) + sum(model.mark[s, m] + model.feature[s, f] for s, (m, f) in zip(path, seen, strict=True))
-        best = max(score(p) for p in itertools.product(range(len(chat.STATES)), repeat=len(lines)))
-    assert np.isclose(score(model.viterbi(seen)), best)
+        score = lambda path, first: first[path[0]] + sum(model.move[a, b] for a, b in itertools.pairwise(path)) + sum(own[i, s] for i, s in enumerate(path))
+        every = list(itertools.product(range(len(chat.STATES)), repeat=len(seen)))
+        assert np.isclose(score(model.viterbi(seen), model.start), max(score(p, model.start) for p in every))
+        # a piece between given states, and the best scores between its ends
+        entry, leave = 5, 2
+        between = max(score(p, model.move[entry]) for p in every if p[-1] == leave)
+        first, on = model.chain(seen)
+        assert np.isclose(on[entry, leave], between) and np.isclose(score(model.viterbi(seen, entry, leave), model.move[entry]), between)
+        assert np.isclose(first.max(), max(score(p, model.start) for p in every))
     assert model.parse(None) == model.parse("") == [] and model.viterbi([]) == []
 
 
 def test_chat_recovers_marked_turns(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet")
     model = chat.fit(rows)
-    given = [("system", "Be kind."), ("user", "What is it?"), ("assistant", "It is a list:\n- one\n- two")]
+    given = [("user", "What is it?"), ("assistant", "It is a list:\n- one\n- two"), ("user", "Good.")]
     for style in chat.STYLES:
-        assert model.parse(chat.raw(given, style)) == given
-    odd = spark.createDataFrame([(None, 0, "user", "x"), (1, None, None, None), (1, 1, "user", "q"), (1, 1, "user", "q")], "conv_id long, turn long, role string, text string")
-    assert sorted((r.n_turns for r in chat.format_frame(odd, model).collect())) == [1, 3]
-    assert chat.format_frame(odd.limit(0), model).count() == 0
+        assert model.parse(chat.raw(given, style)) == model.parse(chat.raw(given, style, "\n\n")) == given
+    sums = chat.format_frame(rows, model).groupBy().sum("n_turns", "n_hidden", "n_recovered", "n_agree").first()
+    turns, hidden, recovered, agree = sums
+    assert hidden > turns / 10 and recovered > hidden / 2 and agree - recovered > 0.95 * (turns - hidden)
+    odd = spark.createDataFrame([(None, 0, "user", "x", 1), (1, None, None, None, 1), (1, 1, "user", "q", 1), (1, 1, "user", "q", 1), (2, 0, "wizard", "", 1)], "conv_id long, turn long, role string, text string, name int")
+    assert sorted((r.n_turns for r in chat.format_frame(odd, model).collect())) == [1, 1, 3]
+    assert chat.format_frame(odd.limit(0), model).count() == 0 and chat.fit(odd.limit(0)).parse("User: a") != []
+
+
+def test_a_long_conversation_is_one_transcript(spark):
+    r = random.Random(8)
+    model = chat.fit(spark.read.parquet(f"{SF}/conversations.parquet"))
+    talk = [(7, i, "user" if i % 2 else "assistant", "\n".join("word " * r.randint(0, 30) for _ in range(r.randint(1, 4)))) for i in range(1500)]
+    df = spark.createDataFrame([*talk, *[(8, 0, "user", "equal")] * 400], "conv_id long, turn long, role string, text string")
+    got = []
+    for n in ("1", "7"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        got.append({x.conv_id: x for x in chat.format_frame(df, model).collect()})
+        turns = chat.turns_frame(df, model).orderBy("part", "nth").collect()
+        assert sum(t.opens for t in turns) == sum(x.n_found for x in got[-1].values())
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert got[0] == got[1] and got[0][7].n_turns == 1500 and got[0][8].n_turns == 400
+    # the pieces are what one run over the whole transcript gives
+    lines = [x for g in chat._turns(df.filter("conv_id = 7")).orderBy("turn").collect() for x in chat.written(g.role, g.text, g.look, g.shown, g.spaced)]
+    assert sum(chat.STATES[s][1] == 0 for s in model.viterbi(chat.observed(lines))) == got[1][7].n_found
 
 
 def _labelled(spark, label):

@@ -1,8 +1,10 @@
 """Byte-pair encoding as a streaming transducer with bounded lookahead, and its incremental decoder.
 
-A merge list decides how far ahead a token can still change. `MergeTable.lookahead` computes a sufficient distance from the list itself: a token is stable once that many further symbols are known, because no chain of higher-priority merges can reach back over it. `StreamingEncoder` therefore holds a bounded window of symbols, emits what is stable, and forgets it; its own memory does not grow with the length of a word. `Encoder` calls it for pre-tokens above 64 bytes only, passes a pre-token's symbols as one list and keeps its tokens, so the queries' memory grows with the longest text.
+A merge list decides how far ahead a token can still change. `MergeTable.lookahead` computes a sufficient distance from the list itself: a token is stable once that many further symbols are known, because no chain of higher-priority merges can reach back over it. `StreamingEncoder` therefore holds a bounded window of symbols, emits what is stable, and forgets it. Every pre-token goes through it, CHUNK characters at a time; the end of a pre-token makes the rest stable, so short ones leave at their end. Texts are walked CHUNK characters at a time, ids are decoded one by one and hashed in blocks of BLOCK_WORDS words. So beyond the text itself (and its normalised copy of one word) memory does not grow with a text; only `encode` and `tokens_frame`, whose result is the list of ids, hold all of them.
 
-Null texts count as empty and give no tokens. Extra columns pass through `encode_frame`.
+Words of up to CACHE_CHARS characters are remembered with the ids that the transducer gave them.
+
+Null texts count as empty and give no tokens. Extra columns pass through `encode_frame`; the others read only theirs. Equal rows get equal results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import re
 import unicodedata
 from array import array
 from functools import lru_cache
-from itertools import islice
+from itertools import batched, chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +34,8 @@ _SPACE = regex.compile(r"\p{White_Space}+")
 CACHE_WORDS = 150_000
 #: Words longer than this bypass the cache, so that its size is bounded in bytes too.
 CACHE_CHARS = 64
-#: Words whose ids are decoded and hashed together.
-BLOCK_WORDS = 4096
+#: Words whose ids are decoded and hashed together; characters of a text or of a pre-token that are taken at once.
+BLOCK_WORDS, CHUNK = 4096, 1 << 16
 
 
 def _byte_symbols() -> list[str]:
@@ -72,25 +74,31 @@ class MergeTable:
 
         Rule i = (u, v) needs, beyond the end of v, whatever an earlier rule (x, w) needs that could first consume a
         right end x of v: the width of w and w's own need. One pass in rank order carries the largest need by left part.
+        A token that several rules make has the right ends of all of them.
         """
-        parts = {a + b: b for a, b in reversed(pairs)}
+        parts: dict[str, list[str]] = {}
+        for left, right in pairs:
+            parts.setdefault(left + right, []).append(right)
         by_left: dict[str, int] = {}
 
         def need(token: str) -> int:
-            most = 0
-            while token is not None:
-                most = max(most, by_left.get(token, 0))
-                token = parts.get(token)
+            most, todo, seen = 0, [token], {token}
+            while todo:
+                t = todo.pop()
+                most = max(most, by_left.get(t, 0))
+                new = [r for r in parts.get(t, ()) if r not in seen]
+                seen.update(new)
+                todo += new
             return most
 
         for left, right in pairs:
             by_left[left] = max(by_left.get(left, 0), self.width(right) + need(right))
         return max([need(t) for t in {*parts, *by_left}], default=0)
 
-    def symbols(self, piece: str) -> list[str]:
-        """A pre-token's byte symbols, the last with the end-of-word mark."""
+    def symbols(self, piece: str, ends: bool = True) -> list[str]:
+        """Byte symbols of a pre-token or of a part of one; where the pre-token ends, the last has the end-of-word mark."""
         s = [BYTE_SYMBOL[b] for b in piece.encode("utf-8", "surrogatepass")]
-        if s:
+        if s and ends:
             s[-1] += self.suffix
         return s
 
@@ -141,6 +149,15 @@ class StreamingEncoder:
         self.held = []
 
 
+def _words(text: str, at: int, end: int):
+    """The words of a part of a text, about CHUNK characters at a time."""
+    while at < end:
+        cut = _SPACE.search(text, at + CHUNK, end) if end - at > CHUNK else None
+        span = text[at : cut.start() if cut else end]
+        yield from _SPACE.split(span) if _SEPARATORS.search(span) else span.split()
+        at = cut.end() if cut else end
+
+
 class Encoder:
     """Encodes whole texts; short words are remembered, long ones stream."""
 
@@ -151,48 +168,60 @@ class Encoder:
     def _normal(self, word: str) -> str:
         return word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
 
-    def _tokens(self, piece: str) -> list[str]:
-        symbols = self.table.symbols(piece)
-        if len(symbols) <= 64:
-            return self.table.merge(symbols)
+    def _tokens(self, piece: str):
+        """A pre-token's tokens, as they become stable."""
         stream = StreamingEncoder(self.table)
-        return [*stream.feed(symbols), *stream.finish()]
+        for i in range(0, len(piece), CHUNK):
+            yield from stream.feed(self.table.symbols(piece[i : i + CHUNK], i + CHUNK >= len(piece)))
+        yield from stream.finish()
 
     def _piece(self, piece: str) -> tuple[str, int]:
-        """A pre-token's ids, joined by a space, and their number."""
+        """A short pre-token's ids, joined by a space, and their number."""
         got = self.pieces.get(piece)
         if got is None:
-            tokens = self._tokens(piece)
-            got = " ".join([self.text_of[t] for t in tokens]), len(tokens)
-            if len(piece) <= CACHE_CHARS:
-                if len(self.pieces) >= CACHE_WORDS:
-                    self.pieces.clear()
-                self.pieces[piece] = got
+            ids = [self.text_of[t] for t in self._tokens(piece)]
+            got = " ".join(ids), len(ids)
+            if len(self.pieces) >= CACHE_WORDS:
+                self.pieces.clear()
+            self.pieces[piece] = got
         return got
 
     def _word(self, word: str) -> tuple[str, int]:
-        """The word's ids, joined by a space, and their number."""
+        """A short word's ids, joined by a space, and their number."""
         normal = self._normal(word)
-        if normal.isalpha():
+        if normal.isalpha() and len(normal) <= CACHE_CHARS:
             got = self._piece(normal)
         else:
-            made = [self._piece(p) for p in PIECES.findall(normal)]
+            made = list(self._long(normal))
             got = " ".join([m[0] for m in made]), sum([m[1] for m in made])
-        if len(word) <= CACHE_CHARS:
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[word] = got
+        if len(self.words) >= CACHE_WORDS:
+            self.words.clear()
+        self.words[word] = got
         return got
 
+    def _long(self, normal: str):
+        """Ids of a word's pre-tokens, block by block."""
+        for m in PIECES.finditer(normal):
+            piece = m[0]
+            if len(piece) <= CACHE_CHARS:
+                yield self._piece(piece)
+            else:
+                for block in batched(self._tokens(piece), BLOCK_WORDS):
+                    yield " ".join([self.text_of[t] for t in block]), len(block)
+
     def _parts(self, text: str):
-        """Each word's ids and their number, in order; a special token's string counts as that token."""
+        """Ids and their number, in order, word by word (long words: in blocks); a special token's string counts as that token."""
         known, word = self.words, self._word
         special = self.table.split_special
         at = 0
-        for hit in [*(special.finditer(text) if special else ()), None]:
-            span = text[at : hit.start() if hit else len(text)]
-            for w in _SPACE.split(span) if _SEPARATORS.search(span) else span.split():
-                got = known.get(w) or word(w)
+        for hit in chain(special.finditer(text) if special else (), (None,)):
+            for w in _words(text, at, hit.start() if hit else len(text)):
+                got = known.get(w)
+                if got is None:
+                    if len(w) > CACHE_CHARS:
+                        yield from self._long(self._normal(w))
+                        continue
+                    got = word(w)
                 if got[1]:
                     yield got
             if hit:

@@ -1,6 +1,8 @@
 """Secret scan: a keyword automaton finds where a secret could start, anchored expressions look only there, and kinds with an embedded checksum must pass it.
 
-Base kinds: assign, access, hex. Added kinds carry their own proof: `forge` and `registry` tokens end in a base-62 CRC-32 of their body, `card` numbers obey the Luhn rule, `iban` numbers leave 1 modulo 97. Where numbers stand side by side, every row of whole groups that has a fitting length is tried, the longest first, since a card may be followed by its expiry date or an account by a bank's code. Spans are code points, end exclusive. Null and empty texts have no spans. Overlaps of different kinds stay.
+Base kinds: assign, access, hex. Added kinds carry their own proof: `forge` and `registry` tokens end in a base-62 CRC-32 of their body, `card` numbers obey the Luhn rule, `iban` numbers leave 1 modulo 97. Keywords of a card are two digits side by side, of an account number a country's letters and a digit. Where numbers stand side by side, every row of whole groups that has a fitting length is tried, the longest first, since a card may be followed by its expiry date or an account by a bank's code.
+
+Spans are code points, end exclusive. Null and empty texts have no spans. Overlaps of different kinds stay. Very long texts are scanned whole, one at a time in memory; equal rows get equal results; an empty table gives no rows; other columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import portions, table
 
 #: Order of kinds among spans that start together; the first three are the base.
 KINDS = ("assign", "access", "hex", "forge", "registry", "card", "iban")
@@ -33,12 +35,14 @@ FORGE = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])"
 REGISTRY = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 #: Keywords by the kind they announce; matched in lower case, then checked by the anchored expression.
+# Countries whose account numbers have this form.
+COUNTRIES = "AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split()
 KEYWORDS = {"password": "assign", "passwd": "assign", "secret": "assign", "token": "assign", "apikey": "assign", "api_key": "assign", "akia": "access"} | {f"gh{c}_": "forge" for c in "pousr"} | {"npm_": "registry"}
+KEYWORDS |= {f"{n:02d}": "card" for n in range(100)} | {f"{c.lower()}{n}": "iban" for c in COUNTRIES for n in range(10)}
 _DIGITS62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 _LOWER = {c: c + 32 for c in range(65, 91)}
-#: Classes for runs: h for a hexadecimal digit in lower case, d for a decimal one (also hexadecimal).
+#: Classes for runs: h for a hexadecimal digit in lower case.
 _RUN_HEX = bytes(ord("h") if chr(c) in "0123456789abcdef" else ord(".") for c in range(256))
-_RUN_DIGIT = bytes(ord("d") if chr(c).isdigit() and c < 128 else ord(" ") if chr(c) in " -" else ord(".") for c in range(256))
 HEX_LEAST, ASSIGN_LEAST, ACCESS_LEAST = 24, 6, 20
 
 
@@ -115,19 +119,20 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         start = last - n + 1
         if start < past.get(kind, 0):
             continue
-        if m := _ANCHORED[kind].match(text, start):
+        if kind in _NUMBERS:
+            past[kind] = _NUMBERS[kind](text, start, found)
+        elif m := _ANCHORED[kind].match(text, start):
             past[kind] = m.end()
             if _accept(kind, m):
                 found.append((kind, start, m.end()))
     flat = text.encode("latin-1", "replace")  # one byte a code point; other characters become "?", in no class
     found += [("hex", a, b) for a, b in _runs(flat.translate(_RUN_HEX).decode("latin-1"), "h", HEX_LEAST)]
-    found += _numbers(text, flat)
     found.sort(key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
     return found
 
 
 _LONG_NUMBER = re.compile(r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,}")
-_DIGITS = re.compile("[0-9]+")
+_DIGITS, _GROUPS, _PLAIN = re.compile("[0-9]+"), re.compile("[0-9](?:[ -]?[0-9])*"), frozenset("0123456789")
 _ACCOUNT = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=[ A-Z0-9])")
 
 
@@ -150,21 +155,30 @@ def _cards(text: str, start: int, end: int):
             i = passed + 1
 
 
-def _numbers(text: str, flat: bytes):
-    """Card and account numbers, only where two decimal digits stand side by side."""
-    if b"dd" not in flat.translate(_RUN_DIGIT):
-        return
-    for hit in _LONG_NUMBER.finditer(text):
-        yield from _cards(text, hit.start(), hit.end())
-    for hit in _ACCOUNT.finditer(text):
-        m = IBAN.match(text, hit.start())
-        # shorter ones end before a space
-        end = m.end() if m else hit.start()
-        while end > hit.start():
-            if iban(text[hit.start() : end]):
-                yield "iban", hit.start(), end
-                break
-            end = text.rfind(" ", hit.start(), end)
+def _card(text: str, start: int, found: list) -> int:
+    """Adds the cards of the digit groups that two digits at `start` belong to; gives where the next look may begin."""
+    while start and text[start - 1] in _PLAIN or start > 1 and text[start - 1] in " -" and text[start - 2] in _PLAIN:
+        start -= 1
+    m = _LONG_NUMBER.match(text, start)
+    if not m:
+        return _GROUPS.match(text, start).end()
+    found += _cards(text, m.start(), m.end())
+    return m.end()
+
+
+def _account(text: str, start: int, found: list) -> int:
+    """Adds the account number that a country's letters at `start` open, the longest that passes; shorter ones end before a space."""
+    m = IBAN.match(text, start) if _ACCOUNT.match(text, start) else None
+    end = m.end() if m else start
+    while end > start:
+        if iban(text[start:end]):
+            found.append(("iban", start, end))
+            return end
+        end = text.rfind(" ", start, end)
+    return start + 1
+
+
+_NUMBERS = {"card": _card, "iban": _account}
 
 
 def _join(found) -> str:
@@ -175,7 +189,7 @@ def scan_frame(df: DataFrame, column: str = "text", key: str = "doc_id") -> Data
     """Per row of `df`: `key`, counts of the base kinds, the digest of their spans, and all spans; only two columns are read."""
 
     def scan(batches):
-        for b in batches:
+        for b in portions(batches, 1):
             all_spans = [spans(t) for t in b.column(1).to_pylist()]
             base = [[s for s in found if s[0] in BASE] for found in all_spans]
             counts = [pa.array([sum(s[0] == k for s in found) for found in base], pa.int64()) for k in BASE]

@@ -2,7 +2,7 @@
 
 Every line is good or bad. A line's state depends on its own features and on its neighbours' (shares of symbols, capitals, digits, bars and exclamation marks, repeated and distinct words, word length, a line equal to the one before) and on the states of the lines beside it. Forward-backward gives each line's probability of being good; their mean, weighted by the lines' lengths, is calibrated to the document's score.
 
-Training: lines inherit their document's label; at most SAMPLE labelled documents of each class, none of them held out; labels, language, source and id are no inputs of a score. Null counts as empty, an empty text is one empty line. Without examples of both classes every score is the share of good ones. The lines of a document are worked on together, so memory follows the longest document of a batch.
+Training: lines inherit their document's label; at most SAMPLE labelled documents of each class, none of them held out; labels, language, source and id are no inputs of a score. Null counts as empty, an empty text is one empty line. Without examples of both classes every score is the share of good ones. The lines of a document are worked on together, so memory follows the longest document of a batch. Equal texts get equal scores, so repeated rows and ties do too; an empty table gives no rows; other columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -127,7 +127,6 @@ class Model:
     def _learn(self, x: np.ndarray, y: np.ndarray, at: np.ndarray) -> None:
         self.scale = np.abs(x).max(0) + 1e-9
         x = x / self.scale
-        # every document counts the same for each class, however many lines it has
         weight, change = np.zeros(x.shape[1]), np.zeros((2, 2))
         inner = np.ones(len(y), bool)
         inner[at[:-1]] = False

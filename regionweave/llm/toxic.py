@@ -1,8 +1,8 @@
 """Toxicity by compression distance: how much shorter a window gets with a dictionary of toxic text than with one of ordinary text.
 
-Two zstandard dictionaries are made: one is trained on ordinary text, the other holds the toxic passages of toxic documents (words that are, or hold a letter run that is, much commoner in toxic documents than in ordinary ones; the rest of a document is left out, since most of a toxic document is ordinary). A window is one word (a long word: overlapping runs of its characters) with its leading space. Its margin is the difference of its two compressed lengths; SPAN words in a row are compared by the sum of their margins, none below zero. Counts and shares of windows and spans whose margin reaches each threshold are calibrated to a probability on documents that the dictionaries did not see.
+Two zstandard dictionaries are made: one is trained on ordinary text, the other holds the toxic passages of toxic documents (words that are, or hold a letter run that is, much commoner in toxic documents than in ordinary ones; the rest of a document is left out, since most of a toxic document is ordinary). Passages stand in order of how common they are, as many of the commonest as DICTIONARY_BYTES hold. A window is one word (a long word: overlapping runs of its characters) with its leading space. Its margin is the difference of its two compressed lengths; SPAN words in a row are compared by the sum of their margins, none below zero. Counts and shares of windows and spans whose margin reaches each threshold are calibrated to a probability on documents that the dictionaries did not see: the sample is cut in FOLDS parts by how texts begin, so that copies and most near copies are in one part, and each part is measured with dictionaries of the others.
 
-Learning uses at most SAMPLE labelled documents of each class, none of them held out; labels, language, source and id are no inputs of a score. Null and empty texts have no window and get the score of none. Without toxic or without ordinary examples every score is the share of toxic ones.
+Learning uses at most SAMPLE labelled documents of each class, none of them held out; labels, language, source and id are no inputs of a score. Null and empty texts have no window and get the score of none. Without toxic or without ordinary examples every score is the share of toxic ones. Very long texts are scored whole; equal texts get equal scores, so repeated rows and ties do too; an empty table gives no rows; other columns of any name are not read, or pass through `keep_clean`.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .learning import Logistic, held_out, labelled_sample
 
 #: Labelled documents of each class to learn from, at most.
 SAMPLE = 2000
+#: Parts of the sample in calibration, and the ridge that keeps its weights small.
+FOLDS, RIDGE = 2, 20.0
 #: Bytes of a dictionary; how much commoner the words and runs that mark toxic passages must be (natural logarithm of the odds), and in how many documents.
 DICTIONARY_BYTES, CONTRAST, LEAST_DOCUMENTS = 16384, 2.5, 4
 #: Letters of the runs, spaces around a word included; words in a row that are compared together, and what they must save in bytes.
@@ -88,8 +90,10 @@ def train_dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, by
         data = [s.encode("utf-8", "surrogatepass") for s in samples]
         try:
             return z.train_dictionary(DICTIONARY_BYTES, data, k=64, d=6).as_bytes()
-        except z.ZstdError:  # too little text to train on: the text itself serves
-            return (b"".join(data) or b" ")[-DICTIONARY_BYTES:].rjust(8, b" ")
+        except z.ZstdError:
+            if sum(map(len, data)) > 64 * DICTIONARY_BYTES:
+                raise
+            return b"".join(data).rjust(8, b" ")  # too little text to train on: the text itself, all of it, serves
 
     # every passage once and the commonest last: training would leave out those of the rarer languages
     held = "".join(f" {w}" for w, _ in sorted(passages.items(), key=lambda p: (p[1], p[0])))
@@ -141,6 +145,16 @@ class Margins:
         return [*(math.log1p(c) for c in counts), *(c / (len(words) + 5) for c in counts), math.log1p(distinct)]
 
 
+def _folds(texts: list[str]) -> list[list[str]]:
+    """The texts in FOLDS parts by a hash of their beginnings; where a part would be empty, they are dealt in turn."""
+    from xxhash import xxh3_64_intdigest
+
+    parts: list[list[str]] = [[] for _ in range(FOLDS)]
+    for t in texts:
+        parts[xxh3_64_intdigest(t[:48].encode("utf-8", "surrogatepass")) % FOLDS].append(t)
+    return parts if all(parts) else [texts[k::FOLDS] for k in range(FOLDS)]
+
+
 class Model:
     """Dictionaries and calibration; small enough to travel with each task."""
 
@@ -150,13 +164,14 @@ class Model:
         self.logistic = None
         if len(toxic) < 2 or len(ordinary) < 2:
             return
+        folds = [_folds(texts) for texts in (toxic, ordinary)]
         x, y = [], []
-        for fold in (0, 1):  # features of each half under dictionaries of the other
-            m = Margins(*train_dictionaries(toxic[fold::2], ordinary[fold::2]))
-            for texts, label in ((toxic[1 - fold :: 2], 1), (ordinary[1 - fold :: 2], 0)):
-                x += [m.features(t) for t in texts]
-                y += [label] * len(texts)
-        self.logistic = Logistic(np.array(x), np.array(y, float))
+        for fold in range(FOLDS):  # features of each part under dictionaries of the others
+            m = Margins(*train_dictionaries(*[[t for k, part in enumerate(f) if k != fold for t in part] for f in folds]))
+            for f, label in zip(folds, (1, 0), strict=True):
+                x += [m.features(t) for t in f[fold]]
+                y += [label] * len(f[fold])
+        self.logistic = Logistic(np.array(x), np.array(y, float), ridge=RIDGE)
         self.dictionaries = train_dictionaries(toxic, ordinary)
 
     def shift(self, toxic: int, ordinary: int) -> None:

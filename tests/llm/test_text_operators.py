@@ -253,6 +253,12 @@ def test_toxicity_on_held_out_rows(spark):
     odd = spark.createDataFrame([(1, None, 0.1), (2, "", 0.2), (3, "x" * 5000, 0.3), (3, "you pathetic worthless moron, you disgusting clown, idiot " * 3, None)], "doc_id long, text string, score double")
     assert toxic.score_frame(odd, model).count() == 4
     assert sorted(len(r.text or "") for r in toxic.keep_clean(odd, model).collect()) == [0, 0, 5000]
+    assert toxic.score_frame(odd.limit(0), model).count() == toxic.keep_clean(odd.limit(0), model).count() == 0
+    one, two = (r.score for r in toxic.score_frame(spark.createDataFrame([(1, "same words"), (1, "same words")], "doc_id long, text string"), model).collect())
+    assert one == two
+    folds = toxic._folds([f"{i // 2} {'beginning ' * 6}{i}" for i in range(200)])
+    assert len(folds) == toxic.FOLDS and sum(map(len, folds)) == 200 and all(len(f) % 2 == 0 for f in folds)
+    assert [len(f) for f in toxic._folds(["alike"] * 5)] == [3, 2]
 
 
 def test_toxic_passages_by_whole_words_and_longer_runs():
@@ -290,6 +296,7 @@ def test_quality_on_held_out_rows(spark):
     assert right >= 0.97 * len(truth)
     assert len(model.scores(pa.array(["", None, "x\n\n" * 2000, "|" * 3000], pa.string()))) == 4
     assert len(model.scores(pa.array([], pa.string()))) == 0
+    assert quality.score_frame(d.limit(0), model).count() == 0
 
 
 def test_forward_backward_equals_enumeration():

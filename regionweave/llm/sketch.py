@@ -2,7 +2,9 @@
 
 A sketch keeps every hash of a text's five-word shingles that lies below a fixed fraction of the hash space. Sketches of any two texts are cut at the same threshold, so they can be merged by union and compared by containment however unequal the texts are.
 
-A fingerprint is text: a digest of the whole text, a colon, and the kept hashes, sorted, twelve hexadecimal digits each. Equal texts have equal fingerprints. A text of one to four words has one shingle, all its words; null counts as empty and keeps no hash. Likeness is the share of the smaller sketch that lies in the other; where a sketch is empty, it is 1 for equal digests and else 0.
+A fingerprint is text: a digest of the whole text, a colon, and the kept hashes, sorted, twelve hexadecimal digits each. Equal texts have equal fingerprints. A text of one to four words has one shingle, all its words; null counts as empty and keeps no hash. Likeness is the share of the smaller sketch that lies in the other; where a sketch is empty (short texts may keep no hash), it is 1 for equal digests and else 0.
+
+Rows with one doc_id, and those without any, which come last, are in order of their texts' hashes; rows equal in both are alike. A single row is its own next one. Very long texts have long fingerprints; an empty table gives no rows; other columns of any name are not read.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ def merged(a_hashes: Column, b_hashes: Column) -> Column:
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
-    """`docs` with `group_`, which follows the order of doc_id: bounds are quantiles, their number follows the session's partitions, and a binary search over them finds a row's group."""
+    """`docs` (doc_id, hash_) with `group_`, which follows the order of doc_id: bounds are quantiles, their number follows the session's partitions, and a binary search over them finds a row's group. Rows without doc_id come last, in as many groups again by their texts' hashes."""
     n = GROUPS * partitions(docs.sparkSession)
     shares = F.array(*[F.lit(i / n) for i in range(1, n)])
     bounds = docs.agg(F.percentile_approx("doc_id", shares, F.lit(20 * n)).alias("bounds_")).withColumn("bounds_", F.coalesce(F.array_distinct("bounds_"), F.array().cast("array<bigint>")))
@@ -66,19 +68,21 @@ def _grouped(docs: DataFrame) -> DataFrame:
     start = F.struct(F.lit(0).alias("low"), F.size("bounds_").alias("high"))
     mid = lambda s: F.floor((s["low"] + s["high"]) / 2).cast("int")
     step = lambda s, _: F.when(s["low"] >= s["high"], s).when(F.get("bounds_", mid(s)) <= F.col("doc_id"), F.struct((mid(s) + 1).alias("low"), s["high"].alias("high"))).otherwise(F.struct(s["low"].alias("low"), mid(s).alias("high")))
-    place = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.aggregate(halvings, start, step)["low"])
+    unnamed = -1 - F.floor((F.lit(32767) - F.shiftright("hash_", 48)) * n / 65536)  # the largest hashes come first
+    place = F.when(F.col("doc_id").isNull(), unnamed).otherwise(F.aggregate(halvings, start, step)["low"])
     return docs.crossJoin(F.broadcast(bounds)).withColumn("group_", place).drop("bounds_")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
     """`docs` (doc_id, text) with next_text: the text of the next row by descending doc_id (nulls last); after the last comes the first. One shuffle of the texts."""
-    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").desc()]
+    docs = docs.withColumn("hash_", F.xxhash64("text"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash_").desc()]
     rows = _grouped(docs)
     within = W.partitionBy("group_").orderBy(*order)
     rows = rows.withColumn("next_text", F.lead("text").over(within)).withColumn("last_", F.lead(F.lit(1)).over(within).isNull())
     # the first row of each group follows the last of the group above; one text per group travels
-    tops = _grouped(docs.select("doc_id")).groupBy("group_").agg(F.max("doc_id").alias("top_"))  # a row per group, so its size is bounded
-    firsts = docs.join(F.broadcast(tops), F.col("doc_id").eqNullSafe(F.col("top_"))).groupBy("group_").agg(F.max_by("text", F.xxhash64("text")).alias("first_text"))
+    tops = _grouped(docs.select("doc_id", "hash_")).groupBy("group_").agg(F.max(F.struct("doc_id", "hash_")).alias("top_"))  # a row per group, so its size is bounded
+    firsts = docs.join(F.broadcast(tops), F.col("doc_id").eqNullSafe(F.col("top_.doc_id")) & (F.col("hash_") == F.col("top_.hash_"))).groupBy("group_").agg(F.max("text").alias("first_text"))
     chain = W.partitionBy(F.lit(0)).orderBy(F.desc("group_"))
     whole = chain.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     after = firsts.select(F.col("group_").alias("g_"), F.coalesce(F.lead("first_text").over(chain), F.first("first_text").over(whole)).alias("after_"))

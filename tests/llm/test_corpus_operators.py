@@ -105,9 +105,52 @@ def test_sketches(spark):
         assert 0 <= got[i].near_edited <= 1 and 0 <= got[i].near_next <= 1
     assert got[1].fingerprint == got[2].fingerprint and got[9].near_edited > 0.55
     assert sketch.fingerprints(frame(spark, [(1, "a"), (1, "a"), (None, None)])).count() == 3
+    nameless = sketch.with_next(frame(spark, [(None, f"text {i}") for i in range(40)] + [(5, "five")]).select("doc_id", "text")).collect()
+    follows = {x.text: x.next_text for x in nameless}
+    assert len(follows) == 41 and set(follows.values()) == set(follows) and follows["five"] != "five"
+    walk = "five"
+    for _ in range(41):
+        walk = follows[walk]
+    assert walk == "five"
     assert sketch.fingerprints(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_sketch_likeness_equals_sets_of_kept_hashes(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(30):
+        text = [r.choice(words) for _ in range(r.choice([0, 1, 4, 5, 30, 300]))]
+        rows.append((i, "\t ".join(text + rows[-1][1].split()[: r.randint(0, 200)] if rows else text)))
+    df = frame(spark, rows)
+    got = {x.doc_id: x for x in sketch.fingerprints(df).collect()}
+
+    def kept(t):
+        """Shingles by hand; their hashes from the engine's own hash of an array of words."""
+        return {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
+
+    every = sorted({s for k, (_, t) in enumerate(rows) for u in (t, t[: len(t) - len(t) // 3] + rows[k - 1][1][: len(t) // 3]) for s in kept(u)})
+    hashed = {tuple(x.w): x.h for x in spark.createDataFrame([(list(s),) for s in every], "w array<string>").select("w", F.xxhash64("w").alias("h")).collect()}
+    low = {s for s, h in hashed.items() if (h & (1 << 64) - 1) >> (64 - sketch.SCALE_BITS) == 0}
+
+    def like(a, b):
+        x, y = kept(a) & low, kept(b) & low
+        return len(x & y) / min(len(x), len(y)) if x and y else float(a == b)
+
+    for k, (i, t) in enumerate(rows):
+        nxt = rows[k - 1][1]
+        edited = t[: len(t) - len(t) // 3] + nxt[: len(t) // 3]
+        assert abs(got[i].near_next - like(t, nxt)) < 1e-12 and abs(got[i].near_edited - like(t, edited)) < 1e-12
+        marks = "".join(f"{(hashed[s] >> 14) & 0xFFFFFFFFFFFF:012x}" for s in sorted(kept(t) & low, key=hashed.get))
+        assert got[i].fingerprint == hashlib.md5(t.encode()).hexdigest() + ":" + marks
+    # the sketch of two texts together is the union of theirs
+    a, b = (F.lit(rows[k][1]) for k in (5, 6))
+    both = df.limit(1).select(sketch.merged(sketch.kept_hashes(a), sketch.kept_hashes(b)).alias("m")).first().m
+    assert sorted(both) == sorted({hashed[s] for k in (5, 6) for s in kept(rows[k][1]) & low})
+
+
 def _classes(rows):
     sets, parent, links = [_shingles(t) for _, t in rows], list(range(len(rows))), Counter()
     find = lambda x: x if parent[x] == x else find(parent[x])

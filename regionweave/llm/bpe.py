@@ -15,7 +15,7 @@ import re
 import unicodedata
 from array import array
 from functools import lru_cache
-from itertools import batched, chain, islice
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import portions, table
+from .common import give_back, portions, table
 
 #: Pre-tokens of the vocabulary file: contractions, letters, one number, other symbols.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
@@ -106,14 +106,14 @@ class MergeTable:
         """Tokens of a window of symbols: the merge of lowest rank first, leftmost among equals."""
         rank, s = self.rank.get, list(s)
         far = 1 << 60
-        order = [rank(p, far) for p in zip(s, s[1:], strict=False)]
+        order = [rank(p, far) for p in pairwise(s)]
         while order:
             best = min(order)
             if best == far:
                 break
             i = order.index(best)
-            s[i] += s[i + 1]
-            del s[i + 1], order[i]
+            s[i] += s.pop(i + 1)
+            del order[i]
             if i:
                 order[i - 1] = rank((s[i - 1], s[i]), far)
             if i < len(order):
@@ -128,8 +128,11 @@ class StreamingEncoder:
         self.table, self.held = table, []
         self.window = 2 * table.lookahead + 64
 
-    def feed(self, symbols: list[str]):
-        """Takes more symbols and gives the tokens that are stable by now."""
+    def take(self, symbols: list[str], ends: bool = False) -> list[str]:
+        """Takes more symbols and gives the tokens that are stable by now: all that is held, when the pre-token ends."""
+        if ends and not self.held and len(symbols) <= self.window:
+            return self.table.merge(symbols)
+        out = []
         for i in range(0, len(symbols), self.window):
             self.held += symbols[i : i + self.window]
             while len(self.held) > self.window:
@@ -138,23 +141,22 @@ class StreamingEncoder:
                     if at + self.table.width(token) > edge:
                         break
                     at += self.table.width(token)
-                    yield token
+                    out.append(token)
                 if not at:
                     break
                 del self.held[:at]
-
-    def finish(self):
-        """The rest, when no symbol follows."""
-        yield from self.table.merge(self.held)
-        self.held = []
+        if ends:
+            out += self.table.merge(self.held)
+            self.held = []
+        return out
 
 
 def _words(text: str, at: int, end: int):
-    """The words of a part of a text, about CHUNK characters at a time."""
+    """The words of a part of a text, as lists of about CHUNK characters."""
     while at < end:
         cut = _SPACE.search(text, at + CHUNK, end) if end - at > CHUNK else None
         span = text[at : cut.start() if cut else end]
-        yield from _SPACE.split(span) if _SEPARATORS.search(span) else span.split()
+        yield _SPACE.split(span) if _SEPARATORS.search(span) else span.split()
         at = cut.end() if cut else end
 
 
@@ -163,24 +165,18 @@ class Encoder:
 
     def __init__(self, path: str):
         self.table, self.words, self.pieces = MergeTable(path), {}, {}
+        self.stream = StreamingEncoder(self.table)
         self.text_of = {t: str(i) for t, i in self.table.ids.items()}
 
     def _normal(self, word: str) -> str:
         return word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
 
-    def _tokens(self, piece: str):
-        """A pre-token's tokens, as they become stable."""
-        stream = StreamingEncoder(self.table)
-        for i in range(0, len(piece), CHUNK):
-            yield from stream.feed(self.table.symbols(piece[i : i + CHUNK], i + CHUNK >= len(piece)))
-        yield from stream.finish()
-
     def _piece(self, piece: str) -> tuple[str, int]:
         """A short pre-token's ids, joined by a space, and their number."""
         got = self.pieces.get(piece)
         if got is None:
-            ids = [self.text_of[t] for t in self._tokens(piece)]
-            got = " ".join(ids), len(ids)
+            tokens = self.stream.take(self.table.symbols(piece), True)
+            got = " ".join([self.text_of[t] for t in tokens]), len(tokens)
             if len(self.pieces) >= CACHE_WORDS:
                 self.pieces.clear()
             self.pieces[piece] = got
@@ -206,24 +202,27 @@ class Encoder:
             if len(piece) <= CACHE_CHARS:
                 yield self._piece(piece)
             else:
-                for block in batched(self._tokens(piece), BLOCK_WORDS):
-                    yield " ".join([self.text_of[t] for t in block]), len(block)
+                for i in range(0, len(piece), CHUNK):
+                    ends = i + CHUNK >= len(piece)
+                    if block := self.stream.take(self.table.symbols(piece[i : i + CHUNK], ends), ends):
+                        yield " ".join([self.text_of[t] for t in block]), len(block)
 
     def _parts(self, text: str):
         """Ids and their number, in order, word by word (long words: in blocks); a special token's string counts as that token."""
-        known, word = self.words, self._word
+        known, word = self.words.get, self._word
         special = self.table.split_special
         at = 0
         for hit in chain(special.finditer(text) if special else (), (None,)):
-            for w in _words(text, at, hit.start() if hit else len(text)):
-                got = known.get(w)
-                if got is None:
-                    if len(w) > CACHE_CHARS:
-                        yield from self._long(self._normal(w))
-                        continue
-                    got = word(w)
-                if got[1]:
-                    yield got
+            for words in _words(text, at, hit.start() if hit else len(text)):
+                for w in words:
+                    got = known(w)
+                    if got is None:
+                        if len(w) > CACHE_CHARS:
+                            yield from self._long(self._normal(w))
+                            continue
+                        got = word(w)
+                    if got[1]:
+                        yield got
             if hit:
                 yield str(self.table.special[hit[0]]), 1
                 at = hit.end()
@@ -264,14 +263,17 @@ class Decoder:
         import codecs
 
         self.table, self.first = table, True
+        self.said = table.surface.get
         self.bytes = codecs.getincrementaldecoder("utf-8")("replace")
 
     def surface(self, token_id: int) -> str:
-        said = self.table.surface.get(token_id)
+        said = self.said(token_id)
         if said is None:
             return ""
-        lead, self.first = "" if self.first else " ", False
-        return lead + said
+        if self.first:
+            self.first = False
+            return said
+        return " " + said
 
     def text(self, token_id: int) -> str:
         said = self.table.surface.get(token_id, "")
@@ -316,6 +318,7 @@ def encode_frame(df: DataFrame, path: str, column: str = "text", out: str = "tok
             ids = pa.array([e.encode(t) for t in b.column(column).to_pylist()], pa.list_(pa.field("element", pa.int32(), False)))
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), ids], [f.name for f in schema.fields])
         e.forget()
+        give_back()
 
     return df.mapInArrow(encode, schema)
 
@@ -332,6 +335,7 @@ def digest_frame(df: DataFrame, path: str, column: str = "text", key: str = "doc
                 [key, "n_tokens", "ids_sha256", "decoded_sha256"],
             )
         e.forget()
+        give_back()
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, column).mapInArrow(digest, f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -352,6 +356,7 @@ def tokens_frame(df: DataFrame, path: str) -> DataFrame:
                 ["doc_id", "source", "tokens", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
         e.forget()
+        give_back()
 
     return df.select("doc_id", "source", "text").mapInArrow(encode, "doc_id long, source string, tokens array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string")
 

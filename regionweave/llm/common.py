@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 
 import numpy as np
@@ -46,6 +47,15 @@ def release(*frames: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Returns memory that a finished task leaves unused to the system, since workers wait for their next task with what they hold."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def groups_of(batches, keys: int):
     """Runs of rows with equal values in the first `keys` columns, as one table each; the batches are sorted by these columns, and a run may span batches."""
     held: list[pa.RecordBatch] = []
@@ -69,6 +79,7 @@ def groups_of(batches, keys: int):
             last = key
     if held:
         yield pa.Table.from_batches(held)
+    give_back()
 
 
 def spare_name(taken: list[str], name: str) -> str:
@@ -149,4 +160,4 @@ def portions(batches, column: int, most: int = 4_000_000):
             yield b.slice(start, end - start)
         if not b.num_rows:
             yield b
-    pa.default_memory_pool().release_unused()
+    give_back()

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import durable, groups_of, mix64, partitions, portions, release, shingle_hashes, slices, spare_name, table
+from .common import durable, give_back, groups_of, mix64, partitions, portions, release, shingle_hashes, slices, spare_name, table
 from .components import components, spanning
 from .exact import bloom, member
 
@@ -177,6 +177,7 @@ def _forest(batches):
             yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b_[kept])], ["a", "b"])
         last = band == band[-1]
         held = (band[last], node[last], values[last].copy())
+    give_back()
 
 
 def linked(common, n, m):

@@ -45,15 +45,15 @@ def test_streaming_is_the_same_in_any_pieces(encoder):
     whole = encoder.table.merge(symbols)
     for piece in (1, 17, 4096):
         s = bpe.StreamingEncoder(encoder.table)
-        out = [t for i in range(0, len(symbols), piece) for t in s.feed(symbols[i : i + piece])]
+        out = [t for i in range(0, len(symbols), piece) for t in s.take(symbols[i : i + piece])]
         assert len(s.held) <= 2 * s.window
-        assert out + list(s.finish()) == whole
+        assert out + s.take([], True) == whole
 
 
 def test_every_word_streams_and_long_texts_are_walked(encoder, library, monkeypatch):
     fed = []
-    feed = bpe.StreamingEncoder.feed
-    monkeypatch.setattr(bpe.StreamingEncoder, "feed", lambda self, symbols: fed.append(len(symbols)) or feed(self, symbols))
+    take = bpe.StreamingEncoder.take
+    monkeypatch.setattr(bpe.StreamingEncoder, "take", lambda self, symbols, ends=False: fed.append(len(symbols)) or take(self, symbols, ends))
     monkeypatch.setattr(bpe, "CHUNK", 50)
     r = random.Random(9)
     e = bpe.Encoder(bpe.vocabulary())
@@ -76,7 +76,7 @@ def test_lookahead_follows_every_rule_that_makes_a_token(tmp_path):
         s = [r.choice("abc") for _ in range(r.randint(1, 200))]
         stream = bpe.StreamingEncoder(table)
         stream.window = table.lookahead + 3
-        assert [*stream.feed(s), *stream.finish()] == table.merge(s)
+        assert [*stream.take(s), *stream.take([], True)] == table.merge(s)
 
 
 def test_decoder_gives_text_back(encoder):

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.durable import durable
+from ..functions.durable import durable, spread
 
 
 def cells(spark: SparkSession, n0: int, n1: int) -> DataFrame:
@@ -106,12 +106,12 @@ def directions(n: int) -> list[tuple[float, float]]:
 def isovist(points: DataFrame, obstacles: DataFrame, domain: tuple[float, float, float, float], n: int = 8) -> DataFrame:
     """Per vantage (id, px, py): area seen, share of rays that an obstacle stops before the domain's edge, and perimeter.
 
-    `obstacles` (x0, x1, y0, y1) is a small drawing: its rows are counted and broadcast as one array. A vantage in or on an obstacle sees nothing: area 0, occlusivity 1, perimeter 0. Rays are an array per vantage, so nothing is shuffled.
+    `obstacles` (x0, x1, y0, y1) is a small drawing: its rows are counted and broadcast as one array. A vantage in or on an obstacle sees nothing: area 0, occlusivity 1, perimeter 0. Rays are an array per vantage; vantages alone are dealt to tasks.
     """
     if (count := obstacles.count()) > 100_000:
         raise ValueError(f"{count} obstacles: cut the drawing into tiles first")
     drawn = obstacles.agg(F.collect_list(F.struct(*[F.col(c).cast("double").alias(c) for c in ("x0", "x1", "y0", "y1")])).alias("boxes_"))
-    p = points.crossJoin(F.broadcast(drawn))  # one row
+    p = spread(points, "id").crossJoin(F.broadcast(drawn))  # one row
     px, py, (lx, hx, ly, hy) = F.col("px").cast("double"), F.col("py").cast("double"), domain
     rays = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in directions(n)])
     far = F.lit(float("inf"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.algebra import RCC8
-from ..functions.durable import durable
+from ..functions.durable import durable, spread
 
 #: Relations in which two regions touch or overlap.
 CONTACT = RCC8.mask("EC", "PO")
@@ -127,7 +127,7 @@ def choice(edges: DataFrame, normalized: bool = True) -> DataFrame:
         scale = (1 / ((n - 1) * (n - 2)) if n > 2 else 0.0) if normalized else 0.5
         return pd.DataFrame({"g": group["g"].iloc[0], "node": nodes, "choice": [score[x] * scale for x in nodes]})
 
-    return kept.groupBy("g").applyInPandas(work, f"g {edges.schema['g'].dataType.simpleString()}, node {edges.schema['u'].dataType.simpleString()}, choice double")
+    return spread(kept, "g").groupBy("g").applyInPandas(work, f"g {edges.schema['g'].dataType.simpleString()}, node {edges.schema['u'].dataType.simpleString()}, choice double")
 
 
 def flow_betweenness(arcs: DataFrame, weighted: bool = False, normalized: bool = True) -> DataFrame:
@@ -144,7 +144,7 @@ def flow_betweenness(arcs: DataFrame, weighted: bool = False, normalized: bool =
         return pd.DataFrame({"g": group["g"], "u": group["u"], "v": group["v"], "score": [score.get((u, v), 0.0) * scale for u, v in zip(group["u"], group["v"], strict=True)]})
 
     k = arcs.schema
-    return arcs.select("g", "u", "v", "weight").groupBy("g").applyInPandas(work, f"g {k['g'].dataType.simpleString()}, u {k['u'].dataType.simpleString()}, v {k['v'].dataType.simpleString()}, score double")
+    return spread(arcs.select("g", "u", "v", "weight"), "g").groupBy("g").applyInPandas(work, f"g {k['g'].dataType.simpleString()}, u {k['u'].dataType.simpleString()}, v {k['v'].dataType.simpleString()}, score double")
 
 
 def component_labels(edges: DataFrame) -> DataFrame:

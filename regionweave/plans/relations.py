@@ -110,7 +110,7 @@ def de9im_to_rcc8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bx.de9im(_touching(spark, sf_dir)).select("a", "b", bx.rcc8_of_de9im().alias("rcc8"))
 
 
-@query(f"""WITH {PAIRS_SQL} SELECT a, b, mask | CASE WHEN (a + b) % 7 = 0 THEN 0 ELSE 0 END AS observed,
+@query(f"""WITH {PAIRS_SQL} SELECT a, b, mask AS observed,
   CASE WHEN mask & (CASE WHEN (a * 3 + b) % 4 = 0 THEN 6 ELSE 252 END) <> 0 THEN 'satisfied' ELSE 'violated' END AS verdict FROM pairs
   UNION ALL SELECT region, region + 1000000, NULL, 'undecided' FROM boxes""")
 def verify_constraints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,6 +175,43 @@ def view_cross_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bx.cross_ratios(fx.boxes(spark, sf_dir))
 
 
+@query(f"""WITH {fx.BOXES_SQL}, {_CORNERS}, l AS (SELECT 0 AS axis, py AS line, px AS place FROM corners UNION SELECT 1, px, py FROM corners)
+SELECT axis, line, count(*) AS n, string_agg(place, ',' ORDER BY place) AS places FROM l GROUP BY axis, line HAVING count(*) >= 3""")
+def view_collinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = bx.collinear_sets(fx.boxes(spark, sf_dir))
+    return c.select("axis", "line", F.size("places").cast("long").alias("n"), F.array_join(F.transform("places", lambda x: x.cast("string")), ",").alias("places"))
+
+
+@query("""WITH k(g, r, kept) AS (VALUES ('euclidean', 0, 'absolute_coordinates,metric,ratios,angles,parallelism,collinearity,incidence,cross_ratio,orientation,linking,contact'),
+  ('similarity', 1, 'ratios,angles,parallelism,collinearity,incidence,cross_ratio,orientation,linking,contact'), ('affine', 2, 'parallelism,betweenness,collinearity,incidence,cross_ratio,orientation,linking,contact'),
+  ('projective', 3, 'collinearity,incidence,cross_ratio,orientation,linking,contact'), ('homeomorphism', 4, 'contact'))
+SELECT k.g AS "group", k.r AS rank, k.kept AS retained, array_to_string(list_filter(string_split(f.kept, ','), lambda c: NOT list_contains(string_split(k.kept, ','), c)), ',') AS dropped
+FROM k CROSS JOIN (SELECT kept FROM k WHERE r = 0) f""")
+def group_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every group of transformations retains and drops."""
+    return bx.losses(spark).select("group", "rank", F.array_join("retained", ",").alias("retained"), F.array_join("dropped", ",").alias("dropped"))
+
+
+_BX, _BY = (_ALLEN_CASE.format(a=f"b_{d}", b=f"a_{d}") for d in "xy")
+
+
+@query(f"WITH {PAIRS_SQL} SELECT a, b, {_BX} AS ax, {_BY} AS ay FROM pairs")
+def rect_converse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of both axes turned around; the SQL classifies the boxes in the other order."""
+    ax, ay = bx.rect_converse(F.col("ax"), F.col("ay"))
+    return bx.rectangles(_touching(spark, sf_dir)).select("a", "b", ax.alias("ax"), ay.alias("ay"))
+
+
+@query(f"""WITH {ALLEN.table_sql()}, {PAIRS_SQL}, r AS (SELECT DISTINCT {_AX} AS ax, {_AY} AS ay FROM pairs)
+SELECT o.ax AS ax1, o.ay AS ay1, t.ax AS ax2, t.ay AS ay2, x.c AS cx, y.c AS cy FROM r o CROSS JOIN r t JOIN comp x ON x.a = o.ax AND x.b = t.ax JOIN comp y ON y.a = o.ay AND y.b = t.ay""")
+def rect_compose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compositions of all rectangle relations that occur, at most 169 of them."""
+    r = bx.rectangles(_touching(spark, sf_dir)).select("ax", "ay").distinct()
+    two = r.withColumnsRenamed({"ax": "ax2", "ay": "ay2"})
+    cx, cy = bx.rect_compose((F.col("ax1"), F.col("ay1")), (F.col("ax2"), F.col("ay2")))
+    return r.withColumnsRenamed({"ax": "ax1", "ay": "ay1"}).crossJoin(F.broadcast(two)).select("ax1", "ay1", "ax2", "ay2", cx.alias("cx"), cy.alias("cy"))
+
+
 def _names_sql(a: al.Algebra) -> str:
     return "list_filter([" + ", ".join(f"CASE WHEN mask & {1 << i} <> 0 THEN '{n}' END" for i, n in enumerate(a.base)) + "], lambda x: x IS NOT NULL)"
 

@@ -158,15 +158,25 @@ def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.agg(F.bool_and(F.col("keys") == 1).alias("alike"), F.max("versions").alias("versions"))
 
 
-_OPS = "['path_consistency', 'ground', 'solve', 'affine_map', 'distance', 'float_cast', 'reverse_verify', 'centroid', 'teleport']"
-
-
-@query()
+#: Operations that the digits 0 to 9 of a chain name: the eight known ones, one that contradicts itself, and one that nobody knows.
+_CHAIN = (*sp.EFFECTS, "reframe", "teleport")
+_NEEDS = {n: e[0] for n, e in sp.EFFECTS.items() if e[0]}
+
+
+@query(f"""WITH o AS (SELECT c_custkey, k AS index, [{", ".join(f"'{n}'" for n in _CHAIN)}][1 + (c_custkey * 7919 // CAST(10 ** k AS BIGINT)) % 10] AS operation FROM customer, range(6) r(k)),
+h AS (SELECT *, bool_or(operation = 'path_consistency') OVER w AS rcc, bool_or(operation = 'solve') OVER w AS geom, bool_or(operation = 'affine_map') OVER w AS mapped, bool_or(operation = 'float_cast') OVER w AS rounded
+      FROM o WINDOW w AS (PARTITION BY c_custkey ORDER BY index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT c_custkey, index, operation, list_filter(CASE operation {" ".join(f"WHEN '{n}' THEN [{', '.join(repr(x) for x in sorted(e))}]" for n, e in _NEEDS.items())} ELSE [] END,
+        lambda x: CASE x WHEN 'rcc-consistent' THEN NOT coalesce(rcc, false) WHEN 'realized-in-D' THEN NOT coalesce(geom, false) WHEN 'euclidean-metric' THEN coalesce(mapped, false) WHEN 'exact-rational' THEN coalesce(rounded, false) ELSE false END) AS missing FROM h)
+SELECT c_custkey, CAST(index AS INT) AS index, operation, 'missing-requirement' AS kind, array_to_string(missing, ',') AS capabilities FROM f WHERE len(missing) > 0
+UNION ALL SELECT c_custkey, CAST(index AS INT), operation, CASE operation WHEN 'reframe' THEN 'contradictory-signature' ELSE 'unknown-operation' END, CASE operation WHEN 'reframe' THEN 'affine-frame' ELSE '' END FROM o WHERE operation IN ('reframe', 'teleport')""")
 def effect_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chains of operations, one a customer, written from the digits of its key; their faults."""
-    names = F.array(*[F.lit(n) for n in (*sp.EFFECTS, "teleport")])
-    c = fx.read(spark, sf_dir, "customer").select("c_custkey", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.element_at(names, (F.pmod(F.xxhash64("c_custkey", k), F.lit(9)) + 1).cast("int"))).alias("ops"))
-    return c.select("c_custkey", F.explode(sp.effect_faults(F.col("ops"))).alias("f")).select("c_custkey", "f.index", "f.operation", "f.kind", "f.missing")
+    """Chains of six operations, one a customer, named by digits of a multiple of its key; their faults."""
+    names = F.array(*map(F.lit, _CHAIN))
+    digit = lambda k: (F.floor(F.col("c_custkey") * 7919 / F.pow(F.lit(10), k).cast("long")) % 10 + 1).cast("int")
+    c = fx.read(spark, sf_dir, "customer").select("c_custkey", F.transform(F.sequence(F.lit(0), F.lit(5)), lambda k: F.element_at(names, digit(k))).alias("ops"))
+    faults = sp.effect_faults(F.col("ops"), {**sp.EFFECTS, "reframe": ((), ("affine-frame",), ("affine-frame",))})
+    return c.select("c_custkey", F.explode(faults).alias("f")).select("c_custkey", "f.index", "f.operation", "f.kind", "f.capabilities")
 
 
 @query("""WITH r AS (SELECT o_custkey AS chain, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS pos, o_orderkey AS k FROM orders),

@@ -59,19 +59,16 @@ def parsed_lines(text: Column) -> Column:
 def dropped(docs: DataFrame) -> DataFrame:
     """Rows of `docs` (doc_id, text) with `gone`: the positions (from 0) of lines whose template recurs."""
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("body_"))
-    each = rows.select("doc_id", "body_", F.explode(F.array_distinct(parsed_lines(F.col("text")))).alias("line")).filter("line is not null")
-    each = durable(each.select("doc_id", "body_", "line", F.col("line.leaf").alias("leaf")))  # slim, used twice
+    each = rows.select("doc_id", "body_", F.posexplode(parsed_lines(F.col("text"))).alias("at", "line")).filter("line is not null")
+    each = durable(each.select("doc_id", "body_", "at", "line", F.col("line.leaf").alias("leaf")))  # slim, used twice
     met = each.groupBy("leaf").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("leaf")
-    keyed = each.join(met, "leaf", "left_semi").select("doc_id", "body_", F.explode(_keys(F.col("line"))).alias("k"))
-    keyed = durable(keyed.select("doc_id", "body_", "k.key", "k.need").distinct())
-    recurring = keyed.groupBy("key", "need").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= F.col("need")).select("key")
-    hit = keyed.join(recurring, "key", "left_semi").groupBy("doc_id", "body_").agg(F.collect_set("key").alias("bad_"))
+    keyed = each.join(met, "leaf", "left_semi").select("doc_id", "body_", "at", F.explode(_keys(F.col("line"))).alias("k"))
+    keyed = durable(keyed.select("doc_id", "body_", "at", "k.key", "k.need"))
+    recurring = keyed.select("doc_id", "body_", "key", "need").distinct().groupBy("key", "need").agg(F.count(F.lit(1)).alias("documents")).filter(F.col("documents") >= F.col("need")).select("key")
+    hit = keyed.join(recurring, "key", "left_semi").groupBy("doc_id", "body_").agg(F.sort_array(F.collect_set("at")).alias("gone_"))
     hit = hit.withColumnsRenamed({"doc_id": "id_", "body_": "was_"})
     joined = rows.join(hit, F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("body_") == F.col("was_")), "left")
-    marked = joined.withColumn("lines_", F.when(F.col("bad_").isNotNull(), parsed_lines(F.col("text"))))
-    bad = lambda line: F.exists(_keys(line), lambda k: F.array_contains("bad_", k["key"]))
-    gone = F.filter(F.sequence(F.lit(0), F.size("lines_") - 1), lambda i: F.coalesce(bad(F.get("lines_", i)), F.lit(False)))
-    return marked.select("doc_id", "text", F.coalesce(gone, F.array().cast("array<int>")).alias("gone"))
+    return joined.select("doc_id", "text", F.coalesce("gone_", F.array().cast("array<int>")).alias("gone"))
 
 
 def clean(docs: DataFrame) -> DataFrame:

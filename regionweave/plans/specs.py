@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import boundary as bd
 from ..operators import boxes as bx
 from ..operators import solve as sv
 from ..operators import spec as sp
@@ -115,6 +116,70 @@ def boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.join(sp.boundary_constraint(b, c), ["spec", "cell"], "left").select("spec", "cell", F.array_join(F.transform("regions", lambda r: r.cast("string")), ",").alias("regions"), "id")
 
 
+_SHARED = f"""{_C}, q AS (SELECT spec, src AS a, CASE WHEN src % 11 = 0 THEN src ELSE dst END AS b, 'F' || src % 3 AS cell, CAST(dst % 4 AS INT) AS dim FROM c),
+sw AS (SELECT spec, 'w:' || cell || ':' || a AS id, cell, a, b, dim, '' AS reason FROM q WHERE a <> b AND dim < 3 UNION ALL SELECT spec, 'w:' || cell || ':' || b, cell, b, a, dim, '' FROM q WHERE a <> b AND dim < 3
+  UNION ALL SELECT spec, NULL, cell, a, b, dim, CASE WHEN a = b THEN 'same_region' ELSE 'bad_contact_dim' END FROM q WHERE a = b OR dim > 2)"""
+
+
+def _shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = _constraints(spark, sf_dir).selectExpr("spec", "src as a", "case when src % 11 = 0 then src else dst end as b", "concat('F', src % 3) as cell", "cast(dst % 4 as int) as dim")
+    return bd.shared_boundary(q)
+
+
+@query(f"WITH {_SHARED} SELECT spec, id, cell, a, b, dim, reason FROM sw")
+def boundary_witnesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two witnesses of one cell for every pair of regions, or why not."""
+    return _shared(spark, sf_dir).select("spec", "id", F.get("cells", F.lit(0)).alias("cell"), "a", "b", "dim", "reason")
+
+
+@query(f"""WITH {_C}, w AS (SELECT spec, id, CAST(dst % 3 AS INT) AS dim, list_distinct(['F' || src % 3, 'F' || dst % 5]) AS cells FROM c), e AS (SELECT spec, id, dim, unnest(cells) AS cell FROM w),
+k AS (SELECT *, CASE WHEN cell IN ('F0', 'F1', 'F2') THEN CAST(cell[2:2] AS INT) END AS own FROM e)
+SELECT spec, id, 'unknown_cell' AS code, cell AS detail FROM k WHERE own IS NULL UNION ALL SELECT spec, id, 'dim_mismatch', CAST(max(own) AS VARCHAR) FROM k GROUP BY spec, id, dim HAVING max(own) <> dim""")
+def cell_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Witnesses against cells of which two in five are unknown."""
+    c = _constraints(spark, sf_dir)
+    w = c.selectExpr("spec", "id", "cast(dst % 3 as int) as dim", "array(concat('F', src % 3), concat('F', dst % 5)) as cells")
+    cells = c.select("spec").distinct().selectExpr("spec", "explode(array(0, 1, 2)) as dim").selectExpr("spec", "concat('F', dim) as id", "dim")
+    return bd.cell_faults(w, cells)
+
+
+@query(f"""WITH {_SHARED} SELECT spec, least(a, b) AS lo, greatest(a, b) AS hi, count(*) AS witnesses, true AS collapses, count(*) >= 2 AND count(DISTINCT (dim, cell)) = count(*) AS distinguishable
+FROM (SELECT spec, a, b, cell, dim FROM sw WHERE reason = '' UNION ALL SELECT spec, a, b, cell, (dim + 1) % 3 FROM sw WHERE reason = '' AND a % 2 = 0) GROUP BY 1, 2, 3""")
+def witness_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Witnesses of every pair, some with a second dimension: one relation to RCC-8, told apart by dimension and cells."""
+    w = _shared(spark, sf_dir).filter("reason = ''")
+    w = w.unionByName(w.filter("a % 2 = 0").withColumn("dim", F.expr("(dim + 1) % 3")))
+    return bd.witness_views(w.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b")}), ["spec", "lo", "hi"])
+
+
+@query(f"""WITH {_SHARED}, one AS (SELECT spec, cell, id, unnest([a, b]) AS r FROM sw WHERE reason = ''), two AS (SELECT spec, cell, id, r FROM (SELECT spec, cell, id, a, unnest([a, b]) AS r FROM sw WHERE reason = '') WHERE a % 7 <> 0),
+x AS (SELECT spec, cell, list_sort(list_distinct(list(id))) AS ids, list_sort(list_distinct(list(r))) AS rs FROM one GROUP BY 1, 2), y AS (SELECT spec, cell, list_sort(list_distinct(list(id))) AS ids, list_sort(list_distinct(list(r))) AS rs FROM two GROUP BY 1, 2)
+SELECT spec, cell, coalesce(x.ids = y.ids AND x.rs = y.rs, false) AS stable FROM x LEFT JOIN y USING (spec, cell)""")
+def boundary_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether boundaries keep their identity when every seventh region's witnesses are lost."""
+    w = _shared(spark, sf_dir).filter("reason = ''")
+    return bd.id_stability(w, w.filter("a % 7 <> 0"))
+
+
+@query(f"""WITH {_C}, cell AS (SELECT spec, 'F' || src % 3 AS cell, src AS region FROM c WHERE src % 4 <> 0 UNION SELECT spec, 'F' || src % 3, dst FROM c WHERE src % 4 <> 0), b AS (SELECT spec, cell, list_distinct(list(region)) AS regions FROM cell GROUP BY 1, 2),
+pick AS (SELECT b.spec, b.cell, arg_min(c.id, (CASE c.status WHEN 'delegated' THEN 1 WHEN 'grounded' THEN 2 ELSE 3 END, c.id)) AS target FROM b JOIN c ON c.spec = b.spec AND list_contains(b.regions, c.src) AND list_contains(b.regions, c.dst) AND c.src <> c.dst WHERE c.mask & 2 <> 0 AND c.status <> CASE WHEN c.spec % 3 = 0 THEN 'delegated' ELSE 'none' END GROUP BY 1, 2),
+k AS (SELECT * FROM c WHERE status <> CASE WHEN spec % 3 = 0 THEN 'delegated' ELSE 'none' END), l AS (SELECT spec, 'g' || id AS id, id AS target FROM k WHERE status = 'grounded' AND src % 2 = 0 UNION ALL SELECT DISTINCT spec, 'dF2', 'none' FROM c WHERE spec % 5 = 0),
+d AS (SELECT DISTINCT spec, 'dF' || n AS id, 'F' || n AS cell FROM c, range(4) r(n)),
+o AS (SELECT d.spec, d.id, d.cell, p.target, CASE WHEN coalesce(len(b.regions), 0) < 2 THEN 'not_shared' WHEN EXISTS (SELECT 1 FROM l WHERE l.spec = d.spec AND l.id = d.id) THEN 'duplicate_decision' WHEN p.target IS NULL THEN 'no_constraint' WHEN k.status = 'invariant' THEN 'refused_invariant'
+  WHEN k.status = 'delegated' THEN 'grounded' WHEN EXISTS (SELECT 1 FROM l WHERE l.spec = d.spec AND l.target = p.target) THEN 'regrounded' ELSE 'unbacked' END AS outcome
+  FROM d LEFT JOIN b ON b.spec = d.spec AND b.cell = d.cell LEFT JOIN pick p ON p.spec = d.spec AND p.cell = d.cell LEFT JOIN k ON k.spec = d.spec AND k.id = p.target)
+SELECT spec, id, cell, CASE WHEN outcome IN ('grounded', 'regrounded') THEN target END AS target, outcome FROM o""")
+def boundary_reground(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions on four boundaries of every specification, one of them shared by nobody."""
+    c = _constraints(spark, sf_dir)
+    cells = c.filter("src % 4 <> 0").selectExpr("spec", "concat('F', src % 3) as cell", "explode(array(src, dst)) as region").distinct()
+    k = c.filter("not (spec % 3 = 0 and status = 'delegated')")
+    ledger = k.filter("status = 'grounded' and src % 2 = 0").selectExpr("spec", "concat('g', id) as id", "id as target")
+    ledger = ledger.unionByName(c.filter("spec % 5 = 0").selectExpr("spec", "'dF2' as id", "'none' as target").distinct())
+    decisions = c.select("spec").distinct().selectExpr("spec", "explode(array(0, 1, 2, 3)) as n").selectExpr("spec", "concat('dF', n) as id", "concat('F', n) as cell")
+    return bd.reground(cells, k, ledger, decisions)
+
+
 _P = f"{_C}, q AS (SELECT spec, src, dst, CAST(CASE WHEN (src * 3 + dst) % 7 = 0 THEN 128 ELSE mask END AS INT) AS mask FROM c)"
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from regionweave.functions import rational as rt
 from regionweave.functions.algebra import RCC8, RCC8_BASE, RCC8_TABLE, rcc8_of_rect
+from regionweave.operators import boundary as bd
 from regionweave.operators import boxes as bx
 from regionweave.operators import field as fd
 from regionweave.operators import flow as fl
@@ -180,3 +181,24 @@ def test_streamed_specifications(spark, tmp_path):
     q = run_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda df, n: got.update({r.spec: r.status for r in df.collect()}), str(tmp_path / "checkpoint"))
     q.awaitTermination(120)
     assert got == {"s": "realized_in_selected_domain_D", "t": "inconsistent"}
+
+
+def test_shared_wall_keeps_its_identity_when_regrounded(spark):
+    asked = spark.createDataFrame([(1, "A", "B", "F17", 2), (1, "A", "A", "F18", 2), (1, "A", "B", "", 2), (1, "A", "B", "F19", 3)], "spec int, a string, b string, cell string, dim int")
+    w = bd.shared_boundary(asked)
+    assert sorted((r.id or "", r.a, r.b, r.reason) for r in w.collect()) == [("", "A", "A", "same_region"), ("", "A", "B", "bad_contact_dim"), ("", "A", "B", "no_cell"), ("w:F17:A", "A", "B", ""), ("w:F17:B", "B", "A", "")]
+    w = w.filter("reason = ''")
+    assert [tuple(r) for r in bd.id_stability(w, w).collect()] == [(1, "F17", True)]
+    assert [r.stable for r in bd.id_stability(w, w.limit(0)).collect()] == [False]
+    cells = spark.createDataFrame([(1, "F17", "A"), (1, "F17", "B")], "spec int, cell string, region string")
+    for status, ledger, outcome in [("delegated", [], "grounded"), ("grounded", [(1, "old", "wall")], "regrounded"), ("grounded", [], "unbacked"), ("invariant", [], "refused_invariant"), ("delegated", [(1, "d1", "x")], "duplicate_decision")]:
+        c = spark.createDataFrame([(1, "wall", "A", "B", 2, status)], "spec int, id string, src string, dst string, mask int, status string")
+        held = spark.createDataFrame(ledger, "spec int, id string, target string")
+        d = spark.createDataFrame([(1, "d1", "F17")], "spec int, id string, cell string")
+        assert bd.reground(cells, c, held, d).first().outcome == outcome
+    face, line = (spark.createDataFrame([(1, "w", ["F1"], "A", "B", d)], "spec int, id string, cells array<string>, a string, b string, dim int") for d in (2, 1))
+    (view,) = bd.witness_views(face.unionByName(line), ["spec"]).collect()
+    assert view.collapses and view.distinguishable
+    complex_ = spark.createDataFrame([(1, "F1", 2)], "spec int, id string, dim int")
+    assert bd.cell_faults(face, complex_).count() == 0 and bd.cell_faults(line, complex_).first().code == "dim_mismatch"
+    assert bd.cell_faults(face, complex_.limit(0)).first().code == "unknown_cell"

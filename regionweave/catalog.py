@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from .plans import relations, specs, structures
+from .plans import documents, relations, specs, structures
 
-MODULES = (relations, structures, specs)
+MODULES = (relations, structures, specs, documents)
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 for _m in MODULES:

@@ -256,21 +256,6 @@ def merge_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.merge_losses(r).select("chain", "source", "target", F.array_join("dropped", ",").alias("dropped"), "reversible")
 
 
-@query(f"WITH {_C} SELECT spec, id, src || '' AS src, dst || '' AS dst, CAST(mask AS INT) AS mask, status FROM c")
-def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Constraints written as documents and read again."""
-    c = _constraints(spark, sf_dir)
-    regions = c.select("spec", F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return cd.read_documents(cd.spec_documents(c, regions))
-
-
-@query()
-def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _constraints(spark, sf_dir)
-    regions = c.select("spec", F.explode(F.array("src", "dst")).alias("id")).distinct()
-    return cd.spec_documents(c, regions).select("spec", cd.content_hash(F.col("doc")).alias("sha256"))
-
-
 @query(f"""WITH {_C} SELECT spec, 'ex:' || CASE WHEN mask IN (8, 16) THEN dst ELSE src END AS s, CASE WHEN mask IN (2, 4) THEN 'bot:adjacentZone' ELSE 'bot:containsZone' END AS p,
 'ex:' || CASE WHEN mask IN (8, 16) THEN src ELSE dst END AS o FROM c WHERE mask IN (2, 4, 8, 16, 32, 64)""")
 def rdf_triples(spark: SparkSession, sf_dir: str) -> DataFrame:

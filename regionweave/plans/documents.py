@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import rational as rt
 from ..functions.durable import durable
+from ..operators import adapters as ad
+from ..operators import boxes as bx
 from ..operators import reduce as rd
+from ..operators import spec as sp
 from ..sources import codec as cd
 from ..sources import fixtures as fx
 from .specs import _C, _P, _constraints
@@ -176,3 +179,94 @@ def presolve_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = lambda name, kind, value: t[name].select("spec", F.lit(kind).alias("kind"), F.col("id").cast("string").alias("id"), value.alias("value"))
     out = row("witnesses", "witness", text("regions")).unionByName(row("overlays", "overlay", text("members"))).unionByName(row("dropped", "dropped", F.lit("")))
     return out.unionByName(row("substitutions", "substitution", F.col("rep").cast("string"))).unionByName(row("regions", "region", F.lit("")))
+
+
+# --- from documents to documents ---
+
+
+def _lifted(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    b = fx.boxes(spark, sf_dir).selectExpr("region div 8 as spec", "region", "region as pos", "x0", "x1", "y0", "y1")
+    t = ad.lift(b)
+    return cd.read_specs(durable(cd.write_specs(t["specs"], t)))
+
+
+_LIFT = f"""WITH {fx.BOXES_SQL}, p AS (SELECT a.region // 8 AS spec, a.region AS a, b.region AS b, {fx.RCC8_CASE} AS mask, CAST(a.x0 < b.x1 AND b.x0 < a.x1 AS INT) + CAST(a.y0 < b.y1 AND b.y0 < a.y1 AS INT) AS dim
+FROM boxes a JOIN boxes b ON a.region // 8 = b.region // 8 AND a.region < b.region), n AS (SELECT region // 8 AS spec, array_to_string(list_sort(list(region || '')), ',') AS inputs FROM boxes GROUP BY 1)"""
+
+
+@query(f"""{_LIFT} SELECT spec, 'constraint' AS kind, 'lift:' || a || '->' || b AS id, CAST(mask AS INT) AS value, 'delegated' AS state, inputs FROM p JOIN n USING (spec)
+UNION ALL SELECT spec, 'witness', 'w:' || a || '-' || b || ':d' || dim || ':c0', dim, 'observed_tolerant', inputs FROM p JOIN n USING (spec) WHERE mask = 2""")
+def lift_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Specifications that the boxes of every eight parts show, written and read as documents."""
+    t = _lifted(spark, sf_dir)
+    inputs = F.array_join("prov.inputs", ",").alias("inputs")
+    c = t["constraints"].select("spec", F.lit("constraint").alias("kind"), "id", F.col("rcc8_mask").alias("value"), F.col("status").alias("state"), inputs)
+    return c.unionByName(t["witnesses"].select("spec", F.lit("witness").alias("kind"), "id", F.col("intended_contact_dimension").alias("value"), F.col("epistemic").alias("state"), inputs))
+
+
+@query(f"""WITH {_C}, r AS (SELECT spec, src AS a, dst AS b, ['point', 'Edge', 'face', '1', 'corner'][1 + (src + dst) % 5] AS dim FROM c), d AS (SELECT spec, a, b, CASE dim WHEN 'point' THEN 0 WHEN 'Edge' THEN 1 WHEN '1' THEN 1 WHEN 'face' THEN 2 END AS dim FROM r),
+h AS (SELECT spec, 'w:' || src || '-' || dst || ':d1:c0' AS id, CAST(1 + dst % 2 AS INT) AS h FROM c WHERE src % 2 = 0), w AS (SELECT *, 'w:' || a || '-' || b || ':d' || dim || ':c0' AS id FROM d)
+SELECT spec, id, a, b, dim, CASE WHEN dim IS NULL THEN 'bad_contact_dim' WHEN h IS NULL THEN 'added' WHEN h = dim THEN 'present' ELSE 'conflict' END AS outcome FROM w LEFT JOIN h USING (spec, id)""")
+def witness_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contacts asked for by name or number, some of them there already."""
+    c = _constraints(spark, sf_dir)
+    asked = c.selectExpr("spec", "src as a", "dst as b", "element_at(array('point', 'Edge', 'face', '1', 'corner'), cast((src + dst) % 5 + 1 as int)) as dim")
+    held = c.filter("src % 2 = 0").selectExpr("spec", "concat('w:', src, '-', dst, ':d1:c0') as id", "cast(1 + dst % 2 as int) as intended_contact_dimension")
+    return ad.add_witnesses(held, asked)
+
+
+@query(f"""WITH {_P}, s AS (SELECT q.*, src || '-' || dst AS id, ['delegated', 'grounded', 'invariant'][1 + (src + dst) % 3] AS status FROM q), seen AS (SELECT a.region // 8 AS spec, a.region AS src, b.region AS dst, {fx.RCC8_CASE} AS seen FROM boxes a JOIN boxes b ON a.region // 8 = b.region // 8 AND a.region < b.region)
+SELECT spec, id, CAST(CASE WHEN status = 'delegated' THEN seen ELSE mask END AS INT) AS mask, status, status <> 'delegated' AND mask & seen = 0 AS conflict FROM s JOIN seen USING (spec, src, dst)""")
+def observe_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reading of the boxes back into constraints: delegated ones take what is seen, decided ones that it contradicts are conflicts."""
+    c = _constraints(spark, sf_dir).withColumn("mask", F.expr("case when (src * 3 + dst) % 7 = 0 then 128 else mask end"))
+    b = fx.boxes(spark, sf_dir).withColumn("net", F.expr("region div 8"))
+    seen = bx.relations(bx.all_pairs(b, ["net"])).select("net", F.col("a").alias("i"), F.col("b").alias("j"), "mask")
+    return sp.observed_masks(c, seen).select("spec", "id", "mask", "status", "conflict")
+
+
+@query(f"""WITH {_C}, after AS (SELECT spec, id, CASE WHEN dst % 7 = 0 THEN 1 ELSE mask END AS mask, CASE WHEN dst % 5 = 0 THEN 'delegated' ELSE status END AS status FROM c WHERE src % 6 <> 0),
+core AS (SELECT spec, id FROM c WHERE status = 'invariant' UNION SELECT spec, id FROM c WHERE src % 8 = 1), g AS (SELECT spec, list('g' || id ORDER BY id) AS l FROM c WHERE status = 'grounded' GROUP BY 1), h AS (SELECT spec, list('g' || id ORDER BY id) AS l FROM c WHERE status = 'grounded' AND NOT (spec % 4 = 0 AND src % 8 = 2) GROUP BY 1)
+SELECT coalesce(g.spec, h.spec) AS spec, 'ledger_changed' AS code, '' AS id FROM g FULL JOIN h ON g.spec = h.spec WHERE g.l IS DISTINCT FROM h.l
+UNION ALL SELECT core.spec, CASE WHEN a.id IS NULL THEN 'dropped_invariant' ELSE 'altered_invariant' END, core.id FROM core LEFT JOIN c b ON b.spec = core.spec AND b.id = core.id LEFT JOIN after a ON a.spec = core.spec AND a.id = core.id WHERE a.id IS NULL OR a.status <> 'invariant' OR a.mask <> b.mask""")
+def session_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole specifications put in place of others: what of the invariant core and the decisions they would move."""
+    c = _constraints(spark, sf_dir)
+    after = c.filter("src % 6 <> 0").selectExpr("spec", "id", "case when dst % 7 = 0 then 1 else mask end as mask", "case when dst % 5 = 0 then 'delegated' else status end as status")
+    core = ad.invariants(c, c.filter("src % 8 = 1"))
+    ledger = c.filter("status = 'grounded'").selectExpr("spec", "id as pos", "concat('g', id) as id", "src")
+    return ad.guard(c, after, core, ledger, ledger.filter("not (spec % 4 = 0 and src % 8 = 2)"))
+
+
+@query()
+def solve_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Realization documents of the lifted specifications: status and number of boxes."""
+    b = fx.boxes(spark, sf_dir).selectExpr("region div 8 as spec", "region", "region as pos", "x0", "x1", "y0", "y1")
+    t = ad.lift(b)
+    real, boxes, _ = cd.read_realizations(durable(ad.solve_documents(durable(cd.write_specs(t["specs"], t)), bounds=(0, 400))).withColumnRenamed("spec", "real"))
+    return real.join(boxes.groupBy("real").agg(F.count(F.lit(1)).alias("boxes")), "real", "left").select(F.col("real").alias("spec"), "status", "boxes")
+
+
+# --- Turtle of whole documents ---
+
+_QUOTED = '"' + _NOTE.replace("\\", "\\\\").replace('"', '\\"') + '"'
+_SOURCE = f"{_C}, s AS (SELECT *, dst % 4 AS k, src % 3 AS n FROM c), r AS (SELECT DISTINCT spec, unnest([src, dst]) AS id FROM c)"
+_JOINED = _NAMES.replace("'[\"' || ", "").replace(" || '\"]'", "").replace("list_sort(", "(").replace("'\",\"'", "'|'")
+
+
+@query(f"""WITH {_SOURCE}, u AS (SELECT spec, 'ex:' || id AS s, unnest([{{'p': 'a', 'o': 'bot:Space'}}, {{'p': 'rdfs:label', 'o': '"k' || id % 3 || '"'}}, {{'p': 't:semanticType', 'o': '"k' || id % 3 || '"'}}, {{'p': 't:declaredOrigin', 'o': CAST(id % 2 = 0 AS VARCHAR)}}]) AS t FROM r
+UNION ALL SELECT spec, 'ex:' || id, unnest([{{'p': 'a', 'o': 't:RelationConstraint'}}, {{'p': 't:source', 'o': 'ex:' || src}}, {{'p': 't:target', 'o': 'ex:' || dst}}, {{'p': 't:rcc8', 'o': '"' || {_JOINED} || '"'}}, {{'p': 't:editStatus', 'o': '"' || status || '"'}}]) FROM s
+UNION ALL SELECT spec, 'ex:w' || id, unnest([{{'p': 'a', 'o': 'bot:Interface'}}, {{'p': 't:contactDimension', 'o': ['"point"', '"line"', '"face"'][1 + k]}}, {{'p': 'bot:interfaceOf', 'o': 'ex:' || src}}, {{'p': 'bot:interfaceOf', 'o': 'ex:' || dst}}]) FROM s WHERE k < 3
+UNION ALL SELECT spec, 'ex:g' || id, unnest([{{'p': 'a', 'o': 'prov:Activity'}}, {{'p': 'prov:wasAssociatedWith', 'o': 'ex:agent%2Fdesigner'}}, {{'p': 'prov:generated', 'o': 'ex:' || id}}, {{'p': 't:fixedValue', 'o': '"EC"'}}, {{'p': 't:rationale', 'o': '{_QUOTED}'}}, {{'p': 't:reversibility', 'o': '"high"'}}]) FROM s WHERE status = 'grounded'
+UNION ALL SELECT DISTINCT spec, 'ex:agent%2Fdesigner', unnest([{{'p': 'a', 'o': 'prov:Agent'}}, {{'p': 'rdfs:label', 'o': '"designer"'}}]) FROM s WHERE status = 'grounded')
+SELECT DISTINCT spec, s, t.p AS p, t.o AS o FROM u UNION SELECT spec, 'ex:' || CASE WHEN mask IN (8, 16) THEN dst ELSE src END, CASE WHEN mask IN (2, 4) THEN 'bot:adjacentZone' ELSE 'bot:containsZone' END, 'ex:' || CASE WHEN mask IN (8, 16) THEN src ELSE dst END FROM s WHERE mask IN (2, 4, 8, 16, 32, 64)""")
+def rdf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All triples of documents with every kind of record."""
+    return cd.spec_triples(cd.read_specs(_full(spark, sf_dir)))
+
+
+@query(f"""WITH {_SOURCE} SELECT spec, 'disjunction' AS category, id AS subject FROM s WHERE bit_count(CAST(mask AS INT)) <> 1 UNION ALL SELECT spec, 'partial_overlap', id FROM s WHERE mask = 4 UNION ALL SELECT spec, 'equality', id FROM s WHERE mask = 128
+UNION ALL SELECT spec, 'delegated_freedom', id FROM s WHERE status = 'delegated' UNION ALL SELECT spec, 'contact_dimension', 'w' || id FROM s WHERE k < 2 UNION ALL SELECT spec, 'overlay_atom', 'o' || id FROM s WHERE CAST(mask AS INT) & 4 <> 0 UNION ALL SELECT spec, 'field_origin', id || '' FROM r WHERE id % 2 = 1""")
+def rdf_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What standard terms do not say of documents with every kind of record."""
+    return cd.spec_losses(cd.read_specs(_full(spark, sf_dir)))

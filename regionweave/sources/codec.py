@@ -228,14 +228,16 @@ def save(docs: DataFrame, path: str) -> None:
 # --- Turtle ---
 
 # Prefixes and the term for each relation that has one.
-PREFIXES = "@prefix bot: <https://w3id.org/bot#> .\n@prefix prov: <http://www.w3.org/ns/prov#> .\n@prefix ex: <urn:regions:> .\n"
+PREFIXES = "@prefix bot: <https://w3id.org/bot#> .\n@prefix prov: <http://www.w3.org/ns/prov#> .\n@prefix rdfs: <http://www.w3.org/2000/01/rdf-schema#> .\n@prefix ex: <urn:regions:> .\n@prefix t: <urn:regions:terms:> .\n"
 ADJACENT, CONTAINS = "bot:adjacentZone", "bot:containsZone"
 
 
 def iri(local: Column) -> Column:
     """A local name as an IRI: characters that a name may not hold are percent-escaped."""
-    safe = F.regexp_replace(F.url_encode(local), r"\+", "%20")
-    return F.concat(F.lit("ex:"), F.regexp_replace(F.regexp_replace(safe, "%3A", ":"), "%2F", "/"))
+    safe = F.url_encode(local)
+    for raw, esc in (("+", "%20"), ("*", "%2A"), ("%3A", ":")):
+        safe = F.replace(safe, F.lit(raw), F.lit(esc))
+    return F.concat(F.lit("ex:"), F.regexp_replace(safe, r"\.$", "%2E"))
 
 
 def literal(text: Column) -> Column:
@@ -265,3 +267,48 @@ def turtle(constraints: DataFrame) -> DataFrame:
     """One Turtle text per specification: prefixes, then its triples in order."""
     line = F.concat_ws(" ", "s", "p", "o", F.lit("."))
     return triples(constraints).groupBy("spec").agg(F.concat(F.lit(PREFIXES), F.array_join(F.array_sort(F.collect_list(line)), "\n"), F.lit("\n")).alias("turtle"))
+
+
+def _statements(rows: DataFrame, subject: Column, parts: list[tuple[str, Column]]) -> DataFrame:
+    """Triples (spec, s, p, o) about one subject a row; an object that is null gives none."""
+    said = F.array_compact(F.array(*[F.when(o.isNotNull(), F.struct(F.lit(p).alias("p"), o.alias("o"))) for p, o in parts]))
+    return rows.select("spec", subject.alias("s"), F.explode(said).alias("t_")).select("spec", "s", "t_.p", "t_.o")
+
+
+def _constraint_name() -> Column:
+    return F.when(F.col("id") != "", F.col("id")).otherwise(F.concat(F.lit("constraint/"), "src", F.lit("--"), "dst"))
+
+
+def _contact_name(dim: Column) -> Column:
+    return F.when(dim == 0, "point").when(dim == 1, "line").when(dim == 2, "face").otherwise(dim.cast("string"))
+
+
+def spec_triples(tables: dict[str, DataFrame]) -> DataFrame:
+    """All triples (spec, s, p, o) of specifications as `read_specs` gives them: regions as spaces, constraints with relation, status and the adjacency or containment they amount to, witnesses as interfaces, decisions as activities of agents. Each triple once."""
+    filled = lambda c: F.when(F.col(c) != "", literal(F.col(c)))
+    r, c, w, g = (tables[k] for k in ("regions", "constraints", "witnesses", "groundings"))
+    out = _statements(r, iri(F.col("id")), [("a", F.lit("bot:Space")), ("rdfs:label", filled("semantic_type")), ("t:semanticType", filled("semantic_type")), ("t:declaredOrigin", F.col("declared_origin").cast("string"))])
+    names = F.array_join(RCC8.names_of(F.col("rcc8_mask")), "|")
+    out = out.unionByName(_statements(c, iri(_constraint_name()), [("a", F.lit("t:RelationConstraint")), ("t:source", iri(F.col("src"))), ("t:target", iri(F.col("dst"))), ("t:rcc8", literal(F.when(names == "", "EMPTY").otherwise(names))), ("t:editStatus", literal(F.col("status")))]))
+    out = out.unionByName(triples(c.withColumnRenamed("rcc8_mask", "mask")))
+    out = out.unionByName(_statements(w, iri(F.col("id")), [("a", F.lit("bot:Interface")), ("t:contactDimension", literal(_contact_name(F.col("intended_contact_dimension"))))]))
+    out = out.unionByName(w.select("spec", iri(F.col("id")).alias("s"), F.lit("bot:interfaceOf").alias("p"), F.explode("incident_regions").alias("r_")).select("spec", "s", "p", iri(F.col("r_")).alias("o")))
+    agent = iri(F.concat(F.lit("agent/"), "actor"))
+    out = out.unionByName(_statements(g, iri(F.col("id")), [("a", F.lit("prov:Activity")), ("prov:wasAssociatedWith", agent), ("prov:generated", F.when(F.col("target") != "", iri(F.col("target")))), ("t:fixedValue", filled("fixed_value_or_domain")), ("t:rationale", filled("rationale")), ("t:reversibility", literal(F.col("reversibility")))]))
+    return out.unionByName(_statements(g, agent, [("a", F.lit("prov:Agent")), ("rdfs:label", literal(F.col("actor")))])).distinct()
+
+
+def spec_losses(tables: dict[str, DataFrame]) -> DataFrame:
+    """What the standard terms among those triples do not say (spec, category, subject): the categories of `loss_items`, contact_dimension of witnesses that are no faces, overlay_atom, and field_origin of regions that nobody declared."""
+    c = tables["constraints"].withColumn("id", _constraint_name()).withColumnRenamed("rcc8_mask", "mask")
+    base = loss_items(c).select("spec", "category", F.col("id").alias("subject"))
+    none = c.filter("mask = 0").select("spec", F.lit("disjunction").alias("category"), F.col("id").alias("subject"))
+    of = lambda name, test, kind: tables[name].filter(test).select("spec", F.lit(kind).alias("category"), F.col("id").alias("subject"))
+    out = base.unionByName(none).unionByName(of("witnesses", "intended_contact_dimension <> 2", "contact_dimension"))
+    return out.unionByName(of("overlays", "true", "overlay_atom")).unionByName(of("regions", "not declared_origin", "field_origin"))
+
+
+def spec_turtle(tables: dict[str, DataFrame]) -> DataFrame:
+    """One Turtle text per specification: prefixes, then all its triples in order; a specification without records is its prefixes."""
+    lines = spec_triples(tables).groupBy("spec").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", "s", "p", "o", F.lit(".")))), "\n").alias("l_"))
+    return tables["specs"].select("spec").join(lines, "spec", "left").select("spec", F.concat(F.lit(PREFIXES), F.coalesce(F.concat(F.lit("\n"), "l_", F.lit("\n")), F.lit(""))).alias("turtle"))

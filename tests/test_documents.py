@@ -2,9 +2,9 @@
 
 import json
 
-from pyspark.sql import functions as F
-
+from regionweave.operators import adapters as ad
 from regionweave.operators import reduce as rd
+from regionweave.operators import solve as sv
 from regionweave.sources import codec as cd
 
 
@@ -74,3 +74,50 @@ def test_reduction(spark):
     assert {r.id: r.regions for r in t["witnesses"].collect()} == {"w1": ["z", "y"], "w0": []} and {r.id: r.members for r in t["overlays"].collect()} == {"w1": ["y", "z"], "w0": []}
     none = rd.presolved(regions.limit(0), c.limit(0), bounds.limit(0))
     assert none["bounds"].isEmpty() and none["contradictions"].isEmpty()
+
+
+def test_turtle_of_a_whole_document(spark):
+    given = {"regions": [{"id": "a/b.", "declared_origin": False}], "constraints": [{"src": "a/b.", "dst": "c*", "rcc8_mask": 16}, {"src": "x", "dst": "y", "rcc8_mask": 0, "id": "q"}], "witnesses": [{"id": "w", "intended_contact_dimension": 1, "incident_regions": ["x"]}], "groundings": [{"id": "g", "target": "q", "rationale": 'so "it" is\n'}], "overlays": [{"id": "o"}]}
+    t = cd.read_specs(spark.createDataFrame([("s", json.dumps(given)), ("e", "{}")], "spec string, doc string"))
+    text = {r.spec: r.turtle for r in cd.spec_turtle(t).collect()}
+    assert text["e"] == cd.PREFIXES and "ex:c%2A bot:containsZone ex:a%2Fb%2E ." in text["s"] and 't:rationale "so \\"it\\" is\\n" .' in text["s"] and 't:rcc8 "EMPTY" .' in text["s"]
+    assert {(r.category, r.subject) for r in cd.spec_losses(t).collect()} == {("field_origin", "a/b."), ("disjunction", "q"), ("delegated_freedom", "q"), ("delegated_freedom", "constraint/a/b.--c*"), ("contact_dimension", "w"), ("overlay_atom", "o")}
+
+
+BOX = "spec string, region string, pos int, x0 long, x1 long, y0 long, y1 long"
+
+
+def test_lift_and_solve_documents(spark):
+    b = spark.createDataFrame([("s", "b", 0, 0, 4, 0, 4), ("s", "a", 1, 4, 6, 0, 4), ("s", "c", 2, 1, 2, 1, 2)], BOX)
+    t = ad.lift(b)
+    docs = cd.write_specs(t["specs"], t)
+    read = cd.read_specs(docs)
+    assert [(r.id, r.rcc8_mask) for r in read["constraints"].orderBy("pos").collect()] == [("lift:b->a", 2), ("lift:b->c", 64), ("lift:a->c", 1)]
+    assert read["witnesses"].first().id == "w:b-a:d1:c0" and read["regions"].first().prov.note == "observed_tolerant;tolerance=0"
+    bad = spark.createDataFrame([("bad", "{"), ("own", '{"constraints":[{"src":"a","dst":"a","rcc8_mask":1}]}'), ("none", "{}"), ("no", '{"constraints":[{"src":"a","dst":"b","rcc8_mask":1,"id":"p"},{"src":"b","dst":"a","rcc8_mask":2,"id":"q"}]}')], "spec string, doc string")
+    out = {r.spec: json.loads(r.doc) for r in ad.solve_documents(docs.unionByName(bad)).collect()}
+    assert out["bad"]["error"]["message"] == "not a specification" and out["own"]["error"]["type"] == "PipelineError"
+    assert out["no"]["status"] == "inconsistent" and out["no"]["violated"] == ["p", "q"] and out["none"]["boxes"] == []
+    got = out["s"]
+    assert got["status"] == "realized_in_selected_domain_D" and len(got["satisfied"]) == 3
+    ends = {x["region_id"]: [(lo["num"] / lo["den"], hi["num"] / hi["den"]) for lo, hi in zip(x["lo"], x["hi"], strict=True)] for x in got["boxes"]}
+    assert sv.relation(ends["b"], ends["a"]) == 2 and sv.relation(ends["b"], ends["c"]) == 64 and sv.relation(ends["a"], ends["c"]) == 1
+
+
+def test_witness_requests_and_regions(spark):
+    held = spark.createDataFrame([("s", "w:a-b:d1:c0", 1), ("s", "w:a-c:d2:c0", 0)], "spec string, id string, intended_contact_dimension int")
+    asked = spark.createDataFrame([("s", "a", "b", " Edge "), ("s", "a", "b", "1"), ("s", "a", "c", "face"), ("s", "b", "c", "0"), ("s", "b", "c", "round"), ("s", "b", "c", None)], "spec string, a string, b string, dim string")
+    assert sorted((r.a + r.b, r.outcome) for r in ad.add_witnesses(held, asked).collect()) == [("ab", "present"), ("ac", "conflict"), ("bc", "added"), ("bc", "bad_contact_dim")]
+    r = spark.createDataFrame([("s", "a", False)], "spec string, id string, declared_origin boolean")
+    named = spark.createDataFrame([("s", "a"), ("s", "b"), ("s", "b"), ("s", None)], "spec string, id string")
+    assert {x.id: x.declared_origin for x in ad.with_regions(r, named).collect()} == {"a": False, "b": True}
+
+
+def test_guard(spark):
+    c = spark.createDataFrame([("s", "i", 1, "invariant"), ("s", "j", 2, "invariant"), ("s", "k", 4, "delegated")], "spec string, id string, mask int, status string")
+    core = ad.invariants(c, spark.createDataFrame([("s", "k")], "spec string, id string"))
+    log = spark.createDataFrame([("s", 0, "g")], "spec string, pos int, id string")
+    after = spark.createDataFrame([("s", "i", 1, "invariant"), ("s", "j", 1, "invariant")], "spec string, id string, mask int, status string")
+    assert {(r.code, r.id) for r in ad.guard(c, after, core, log, log).collect()} == {("altered_invariant", "j"), ("dropped_invariant", "k")}
+    assert [r.code for r in ad.guard(c, c, ad.invariants(c, log.limit(0)), log, log.limit(0)).collect()] == ["ledger_changed"]
+    assert {r.id for r in ad.decided(c).collect()} == {"i", "j"}

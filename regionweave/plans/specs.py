@@ -210,7 +210,14 @@ def compare_realizations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp.compare(items.filter("a % 5 <> 0"), two)
 
 
-@query("SELECT true AS alike, 5 AS versions")
+@query(f"""WITH {fx.BOXES_SQL}, b AS (SELECT region // 16 AS set, region, x0, x1, y0, y1 FROM boxes),
+e AS (SELECT set, region, 'x' AS axis, unnest([0, 1]) AS o, unnest([x0, x1]) AS v FROM b UNION ALL SELECT set, region, 'y', unnest([0, 1]), unnest([y0, y1]) FROM b),
+r AS (SELECT *, dense_rank() OVER (PARTITION BY set, axis ORDER BY v) - 1 AS r FROM e), m AS (SELECT set, axis, max(r) AS m FROM r GROUP BY 1, 2),
+s AS (SELECT r.set, region, r.axis, f, lpad(CAST(CASE WHEN f THEN m - max(r) FILTER (o = 1) ELSE max(r) FILTER (o = 0) END AS VARCHAR), 6, '0') || ',' || lpad(CAST(CASE WHEN f THEN m - max(r) FILTER (o = 0) ELSE max(r) FILTER (o = 1) END AS VARCHAR), 6, '0') AS t
+  FROM r JOIN m ON m.set = r.set AND m.axis = r.axis, (VALUES (false), (true)) z(f) GROUP BY r.set, region, r.axis, f, m),
+k AS (SELECT x.set, string_agg(x.region || ',' || CASE WHEN turned THEN y.t || ',' || x.t ELSE x.t || ',' || y.t END, ';' ORDER BY x.region || ',' || CASE WHEN turned THEN y.t || ',' || x.t ELSE x.t || ',' || y.t END) AS key
+  FROM s x JOIN s y ON y.set = x.set AND y.region = x.region, (VALUES (false), (true)) z(turned) WHERE x.axis = 'x' AND y.axis = 'y' GROUP BY x.set, x.f, y.f, turned)
+SELECT set, sha256(min(key)) AS key, 1 AS keys, 5 AS versions FROM k GROUP BY set""")
 def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Box sets of every 16 parts, and the same sets stretched, mirrored, and with their axes exchanged: one key for all five."""
     b = fx.boxes(spark, sf_dir).withColumn("set", F.expr("region div 16"))
@@ -219,8 +226,7 @@ def canonical_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     for i, v in enumerate(versions):
         one = b.selectExpr(f"set * 10 + {i} as real", "region", *[f"{e} as {n}" for e, n in zip(v, ("x0", "x1", "y0", "y1"), strict=True)])
         all_ = one if all_ is None else all_.unionByName(one)
-    keys = sp.canonical_keys(all_).groupBy(F.expr("real div 10").alias("set")).agg(F.count_distinct("key").alias("keys"), F.count(F.lit(1)).cast("int").alias("versions"))
-    return keys.agg(F.bool_and(F.col("keys") == 1).alias("alike"), F.max("versions").alias("versions"))
+    return sp.canonical_keys(all_).groupBy(F.expr("real div 10").alias("set")).agg(F.max("key").alias("key"), F.count_distinct("key").cast("int").alias("keys"), F.count(F.lit(1)).cast("int").alias("versions"))
 
 
 #: Operations that the digits 0 to 9 of a chain name: the eight known ones, one that contradicts itself, and one that nobody knows.

@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Divisors below this are looked up: the table holds gcd(y, r) of every y and remainder r.
+SMALL = 64
+_SMALL_GCD = ",".join(str(math.gcd(y, r)) for y in range(SMALL) for r in range(SMALL))
+
 
 def gcd(a: Column, b: Column) -> Column:
-    """Greatest common divisor of two integers by Euclid's steps (92 are enough for 64 bits); 0 only for two zeros."""
+    """Greatest common divisor of two integers; 0 only for two zeros. One step of Euclid's and a look into a table where `b` is small, all steps (92 are enough for 64 bits) elsewhere."""
+    x, y = F.abs(a).cast("long"), F.abs(b).cast("long")
+    table = F.split(F.lit(_SMALL_GCD), ",").cast("array<long>")
+    return F.when((y > 0) & (y < SMALL), F.get(table, (y * SMALL + x % y).cast("int"))).otherwise(_euclid(a, b))
+
+
+def _euclid(a: Column, b: Column) -> Column:
     step = lambda s, _: F.when(s["y"] == 0, s).otherwise(F.struct(s["y"].alias("x"), (s["x"] % s["y"]).alias("y")))
     start = F.struct(F.abs(a).cast("long").alias("x"), F.abs(b).cast("long").alias("y"))
     return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step)["x"]

@@ -8,6 +8,7 @@ from regionweave.operators import boxes as bx
 COPIES = 6
 QUERIES = (
     "rect_to_rcc8",
+    "view_similarity",
 )
 
 

@@ -4,7 +4,7 @@ A transcript is lines; a line may open with a speaker marker in one of several l
 
 The table's turns are written as transcripts first: one look a conversation, another now and then, every fifth marker left out, a blank line between turns in every second conversation. What the model gives back is held against the turns.
 
-A conversation of any length is one transcript. Rows are dealt in order to ranges, so a long conversation lies in several; its pieces are joined exactly: each gives the best scores between its ends as a max-plus matrix, the matrices of a conversation are chained (a row per range), and each piece is then traced between the states that the chain gives it.
+A conversation of any length is one transcript. Rows are dealt in order to ranges, so a long conversation lies in several; its pieces are joined exactly: each gives the best scores between its ends as a max-plus matrix, the matrices of a conversation are chained (a row per range), and each piece is then traced between the states that the chain gives it. A turn that goes on in the next range is closed where its last line that is not blank stands, so the rendered pieces in order are the rendering of the whole.
 
 Rows without conv_id are transcripts of their own. A null role is shown without a marker and is recovered; null text counts as empty; turns with equal numbers are ordered by role and text; an unknown role's name is shown as it is and read as text. An empty table gives no rows; without rows of known roles all probabilities are even. Other columns of any name are not read.
 """
@@ -35,6 +35,8 @@ STYLES = ("{Name}: {text}", "### {Name}:\n{text}", "[{Name}] {text}", "<|{name}|
 SAMPLE, SAMPLE_TURNS = 1000, 256
 SIZES = (0, 1, 20, 45, 80, 130, 200, 320, 500)
 OPEN, CLOSE = "<|{role}|>\n", "\n<|end|>\n"
+#: A prime; the digest of a text is its bytes as one number, modulo this, so digests of pieces give that of the whole.
+MODULUS = (1 << 255) - 19
 _LISTED = re.compile(r"(?:[-*•] |\d+[.)] |```|    )")
 FEATURES = len(SIZES) * 3 * 2
 
@@ -121,8 +123,8 @@ class Model:
         return [(role, text) for role, text, _ in turns_of(lines, self.viterbi(observed(lines)))]
 
 
-def turns_of(lines: list[str], states: list[int]) -> list[tuple[str, str, bool]]:
-    """Turns (role, text, whether its first line is among the lines) of lines with their states. Blank lines at a turn's end part turns and are not of its text."""
+def runs_of(lines: list[str], states: list[int]) -> list[tuple[str, list[str], bool]]:
+    """Turns (role, lines without the marker, whether its first line is among them) of lines with their states."""
     turns: list[tuple[str, list[str], bool]] = []
     for line, state in zip(lines, states, strict=True):
         role, place = STATES[state]
@@ -131,8 +133,17 @@ def turns_of(lines: list[str], states: list[int]) -> list[tuple[str, str, bool]]
             turns.append((role, [rest] if said and not place else [line], not place))
         else:
             turns[-1][1].append(line)
-    # a marker on a line of its own leaves an empty first line
-    return [(role, "\n".join(text[1:] if len(text) > 1 and not text[0] else text).rstrip("\n"), opens) for role, text, opens in turns]
+    return turns
+
+
+def body(lines: list[str], opens: bool) -> str:
+    """Lines of a turn as text; a marker on a line of its own leaves an empty first line."""
+    return "\n".join(lines[1:] if opens and len(lines) > 1 and not lines[0] else lines)
+
+
+def turns_of(lines: list[str], states: list[int]) -> list[tuple[str, str, bool]]:
+    """Turns (role, text, whether its first line is among the lines) of lines with their states. Blank lines at a turn's end part turns and are not of its text."""
+    return [(role, body(own, opens).rstrip("\n"), opens) for role, own, opens in runs_of(lines, states)]
 
 
 def render(turns: list[tuple[str, str]]) -> str:
@@ -140,6 +151,37 @@ def render(turns: list[tuple[str, str]]) -> str:
     return "".join(OPEN.format(role=role) + text + CLOSE for role, text in turns)
 
 
+def rendered_runs(runs: list[tuple[str, list[str], bool]], first: bool = True, more: bool = False) -> list[str]:
+    """The rendering of a piece's turns; pieces in order make up the rendering of the transcript. `first`: the piece opens the transcript; `more`: lines of its last turn that are not blank follow in later pieces."""
+    out = []
+    for k, (role, lines, opens) in enumerate(runs):
+        starts, goes_on = opens or (first and not k), more and k == len(runs) - 1
+        text = body(lines, opens)
+        if goes_on:
+            # an empty first line is dropped, as it is where its turn is whole
+            text = "" if opens and lines == [""] else text + "\n"
+        elif starts or any(lines):
+            text = text.rstrip("\n") + CLOSE
+        else:
+            text = ""  # blank lines of a turn that is closed in an earlier piece
+        out.append(OPEN.format(role=role) * starts + text)
+    return out
+
+
+def digest(text: str) -> tuple[int, int]:
+    """A text's digest and its number of bytes."""
+    data = text.encode("utf-8", "surrogatepass")
+    return int.from_bytes(data, "big") % MODULUS, len(data)
+
+
+def digest_of_pieces(pieces) -> str:
+    """The digest, in hexadecimal, of a text from those of its pieces (part, digest in hexadecimal, bytes) in order."""
+    out = 0
+    for _, own, n in pieces:
+        out = (out * pow(256, n, MODULUS) + int(own, 16)) % MODULUS
+    return f"{out:064x}"
+
+
 def raw(turns: list[tuple[str | None, str]], style: str, between: str = "\n") -> str:
     """A transcript of turns with markers in one style; a turn without a role has no marker."""
     return between.join(style.format(name=r, Name=r.capitalize(), text=t) if r else t for r, t in turns)
@@ -240,16 +282,29 @@ def _chained(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"name": group["name"].to_numpy(), "part": group["part"].to_numpy(), "entry": [-1, *leave[:-1]], "leave": leave, "ahead": ahead, "after": after})
 
 
-def _states(model: Model, around: dict, name: str, part: int, lines: list[str]) -> tuple[list[int], int]:
-    """The states of a piece's lines and the number of lines ahead of it."""
-    entry, leave, ahead, after = around.get((name, part), (-1, None, 0, False))
-    return model.viterbi(observed(lines, "" if after else "x"), None if entry < 0 else entry, leave), ahead
+def _states(model: Model, around: dict, name: str, part: int, lines: list[str]) -> list[int]:
+    """The states of a piece's lines."""
+    entry, leave, _, after, _ = around.get((name, part), ALONE)
+    return model.viterbi(observed(lines, "" if after else "x"), None if entry < 0 else entry, leave)
+
 
+def _rendered(around: dict, name: str, part: int, runs: list) -> list[str]:
+    entry, *_, more = around.get((name, part), ALONE)
+    return rendered_runs(runs, entry < 0, more)
 
-def _line_hash(at: int, state: int, line: str) -> int:
-    import xxhash
 
-    return xxhash.xxh3_64_intdigest(f"{at}:{STATES[state][0]}:{STATES[state][1] == 0}:{line}".encode("utf-8", "surrogatepass"))
+def _heads(model: Model, around: dict):
+    """Of the pieces of `around`: whether their first line opens a turn, whether any line does, and whether a line ahead of it is not blank."""
+
+    def heads(batches):
+        for name, part, _, _, lines, _ in _pieces(batches):
+            if (name, part) in around:
+                runs = runs_of(lines, _states(model, around, name, part, lines))
+                columns = [[name], [part], [runs[0][2]], [any(r[2] for r in runs)], [not runs[0][2] and any(runs[0][1])]]
+                kinds = [pa.string(), pa.int32(), *[pa.bool_()] * 3]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["name", "part", "opens", "any", "head"])
+
+    return heads
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -260,26 +315,42 @@ def dealt(rows: DataFrame) -> DataFrame:
     return durable(ranged.select("name", F.spark_partition_id().alias("part"), "conv_id", "turn", "role", "text", "look", "shown", "spaced"))
 
 
+#: What `around_pieces` says of a piece that is a whole transcript.
+ALONE = (-1, None, 0, False, False)
+
+
 def around_pieces(turns: DataFrame, model: Model) -> dict:
-    """(entry state, last state, lines ahead, whether a blank line is ahead) of the pieces at the ends of ranges, by (name, part): two a range at most, so their number is bounded by the session's partitions."""
+    """(entry state, last state, lines ahead, whether a blank line is ahead, whether later pieces go on with the last turn) of the pieces at the ends of ranges, by (name, part): two a range at most, so their number is bounded by the session's partitions."""
     ends = turns.mapInArrow(_ends(model), "name string, part int, n long, blank boolean, first array<double>, on array<double>, on_blank array<double>")
     chained = ends.groupBy("name").applyInPandas(_chained, "name string, part int, entry int, leave int, ahead long, after boolean")
-    return {(r[0], r[1]): tuple(r[2:]) for r in chained.collect()}
+    ends = {(r[0], r[1]): (*r[2:], False) for r in chained.collect()}
+    parts: dict[str, list[int]] = {}
+    for name, part in sorted(ends):
+        parts.setdefault(name, []).append(part)
+    cut = {k: v for k, v in ends.items() if len(parts[k[0]]) > 1}
+    heads = {(r[0], r[1]): r[2:] for r in turns.mapInArrow(_heads(model, cut), "name string, part int, opens boolean, any boolean, head boolean").collect()} if cut else {}
+    for name, own in parts.items():
+        more = False
+        for ahead, part in reversed(list(zip(own, own[1:], strict=False))):
+            opens, some, head = heads[name, part]
+            more = not opens and (head or (not some and more))
+            ends[name, ahead] = (*ends[name, ahead][:-1], more)
+    return ends
 
 
 def format_frame(rows: DataFrame, model: Model) -> DataFrame:
-    """Per transcript: conv_id, held_out, n_turns given, n_lines, n_found turns, n_hidden (turns of known role written without a marker), n_recovered (of these, opened by the model with the right role), n_agree (the same of all turns of known role), canonical (a digest of the rendered lines in their order)."""
+    """Per transcript: conv_id, held_out, n_turns given, n_lines, n_found turns, n_hidden (turns of known role written without a marker), n_recovered (of these, opened by the model with the right role), n_agree (the same of all turns of known role), canonical (the digest of the rendered transcript, see MODULUS)."""
     turns = dealt(rows)
     around = rows.sparkSession.sparkContext.broadcast(around_pieces(turns, model))
 
     def work(batches):
         out = []
         for name, part, conv, given, lines, opens in _pieces(batches):
-            states, ahead = _states(model, around.value, name, part, lines)
+            states = _states(model, around.value, name, part, lines)
             right = [g[0] in ROLES and STATES[states[at]] == (g[0], 0) for g, at in zip(given, opens, strict=True)]
             hidden = [g[0] in ROLES and not g[3] for g in given]
-            digest = sum(_line_hash(ahead + i, s, line) for i, (s, line) in enumerate(zip(states, lines, strict=True))) % (1 << 63)
-            out.append((name, conv, len(given), len(lines), sum(STATES[s][1] == 0 for s in states), sum(hidden), sum(h and r for h, r in zip(hidden, right, strict=True)), sum(right), digest))
+            own, n = digest("".join(_rendered(around.value, name, part, runs_of(lines, states))))
+            out.append((name, conv, len(given), len(lines), sum(STATES[s][1] == 0 for s in states), sum(hidden), sum(h and r for h, r in zip(hidden, right, strict=True)), sum(right), part, f"{own:064x}", n))
             if len(out) == 1000:
                 yield batch(out)
                 out = []
@@ -287,26 +358,28 @@ def format_frame(rows: DataFrame, model: Model) -> DataFrame:
             yield batch(out)
 
     def batch(out):
-        kinds = [pa.string(), *[pa.int64()] * 8]
-        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [*names, "digest"])
+        kinds = [pa.string(), *[pa.int64()] * 8, pa.string(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [*names, "part", "digest", "bytes"])
 
     names = ["name", "conv_id", "n_turns", "n_lines", "n_found", "n_hidden", "n_recovered", "n_agree"]
-    told = turns.mapInArrow(work, ", ".join(["name string", *[f"{n} long" for n in names[1:]], "digest long"]))
+    told = turns.mapInArrow(work, ", ".join(["name string", *[f"{n} long" for n in names[1:]], "part long", "digest string", "bytes long"]))
     sums = [F.sum(n).alias(n) for n in names[2:]]
-    whole = F.sum(F.col("digest").cast("decimal(38,0)")) % F.lit(str(1 << 63)).cast("decimal(38,0)")
-    both = told.groupBy("name", "conv_id").agg(*sums, F.lower(F.lpad(F.hex(whole.cast("long")), 16, "0")).alias("canonical"))
-    return both.select("conv_id", held_out(F.col("conv_id")).alias("held_out"), *names[2:], "canonical")
+    pieces = F.array_sort(F.collect_list(F.struct("part", "digest", "bytes")))  # one a range at most
+    both = told.groupBy("name", "conv_id").agg(*sums, pieces.alias("pieces"))
+    whole = F.when(F.size("pieces") == 1, F.get("pieces", F.lit(0))["digest"]).otherwise(F.udf(digest_of_pieces, "string")("pieces"))
+    return both.select("conv_id", held_out(F.col("conv_id")).alias("held_out"), *names[2:], whole.alias("canonical"))
 
 
 def turns_frame(rows: DataFrame, model: Model) -> DataFrame:
-    """The canonical turns themselves, in order within each range: conv_id, part, nth (from 0 in the piece), role, opens (false for the rest of a turn that began in the range before), text, rendered."""
+    """The canonical turns themselves, in order within each range: conv_id, part, nth (from 0 in the piece), role, opens (false for the rest of a turn that began in the range before), text, rendered (all rows of a conversation in order make up its canonical text)."""
     turns = dealt(rows)
     around = rows.sparkSession.sparkContext.broadcast(around_pieces(turns, model))
 
     def work(batches):
         for name, part, conv, _, lines, _ in _pieces(batches):
-            found = turns_of(lines, _states(model, around.value, name, part, lines)[0])
-            columns = [[conv] * len(found), [part] * len(found), list(range(len(found))), [r for r, _, _ in found], [o for *_, o in found], [t for _, t, _ in found], [render([(r, t)]) for r, t, _ in found]]
+            states = _states(model, around.value, name, part, lines)
+            found = turns_of(lines, states)
+            columns = [[conv] * len(found), [part] * len(found), list(range(len(found))), [r for r, _, _ in found], [o for *_, o in found], [t for _, t, _ in found], _rendered(around.value, name, part, runs_of(lines, states))]
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.bool_(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "part", "nth", "role", "opens", "text", "rendered"])
 

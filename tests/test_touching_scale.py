@@ -61,3 +61,54 @@ def test_classes_stand_for_every_pair_once(spark, monkeypatch):
     assert sorted(map(tuple, fast.collect())) == sorted(map(tuple, slow.collect()))
 
 
+
+
+def test_queries_agree_with_the_operators_that_look_boxes_up(spark, copies):
+    from pyspark.sql import functions as F
+
+    from regionweave.operators import spec as sp
+    from regionweave.sources import fixtures as fx
+
+    boxes = fx.boxes(spark, copies)
+    pairs, same = bx.touching_pairs(boxes).select("a", "b"), lambda x, y: sorted(map(tuple, x.collect())) == sorted(map(tuple, y.collect()))
+    stated = pairs.selectExpr("a as src", "b as dst", "case when (a * 3 + b) % 4 = 0 then 6 else 252 end as mask")
+    met = catalog.QUERIES["verify_constraints"](spark, copies).filter("observed is not null")
+    assert same(met, bx.verdicts(stated, boxes).select("src", "dst", "observed", "verdict"))
+    assert same(catalog.QUERIES["witness_violations"](spark, copies), bx.witness_verdicts(pairs.withColumn("dim", F.expr("cast(a % 2 as int)")), boxes))
+    assert {r.code for r in bx.witness_verdicts(spark.createDataFrame([(-5, -6, 1)], "a long, b long, dim int"), boxes).collect()} == {"missing_region"}
+    items = sp.observations(bx.relations(bx.touching_pairs(boxes)).withColumn("real", F.lit(0)))
+    two = items.filter("b % 5 <> 0").withColumn("value", F.expr("case when kind = 'rcc8' and b % 6 = 0 then 'PO' else value end"))
+    assert same(catalog.QUERIES["compare_realizations"](spark, copies), sp.compare(items.filter("a % 5 <> 0"), two))
+
+
+def test_divisors_and_names_are_looked_up_alike(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from regionweave.functions import rational as rt
+    from regionweave.functions.algebra import RCC8
+
+    rows = [(a, b) for a in (0, 1, -12, 63, 64, 6300, 2**62) for b in (0, 1, -6, 36, 63, 64, 4096)]
+    got = spark.createDataFrame([*rows, (None, 4), (4, None)], "a long, b long").select("a", "b", rt.gcd(F.col("a"), F.col("b")).alias("g")).collect()
+    assert all(r.g == (None if r.a is None or r.b is None else math.gcd(r.a, r.b)) for r in got)
+    masks = RCC8.masks(spark).select(RCC8.text_of(F.col("mask")).alias("x"), F.array_join(RCC8.names_of(F.col("mask")), ",").alias("y")).collect()
+    assert all(r.x == r.y for r in masks)
+
+
+def test_rectangle_masks_are_unions_of_their_base_relations(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from regionweave.functions import algebra as al
+
+    r = random.Random(4)
+    rows = [(x, y) for x in [0, *(1 << i for i in range(13))] for y in [0, *(1 << i for i in range(13))]] + [(r.randrange(8192), r.randrange(8192)) for _ in range(60)]
+    base = spark.createDataFrame([(1 << i, 1 << j) for i in range(13) for j in range(13)], "x int, y int").select("x", "y", al.rcc8_of_axes(F.col("x"), F.col("y")).alias("m")).collect()
+    got = spark.createDataFrame(rows, "x int, y int").select("x", "y", al.rcc8_of_rect(F.col("x"), F.col("y")).alias("m")).collect()
+    for g in got:
+        wanted = 0
+        for b in base:
+            wanted |= b.m if g.x & b.x and g.y & b.y else 0
+        assert g.m == wanted

@@ -1,6 +1,6 @@
 """Byte-pair encoding as a streaming transducer with bounded lookahead, and its incremental decoder.
 
-A merge list decides how far ahead a token can still change. `MergeTable.lookahead` computes a sufficient distance from the list itself: a token is stable once that many further symbols are known, because no chain of higher-priority merges can reach back over it. `StreamingEncoder` therefore holds a bounded window of symbols, emits what is stable, and forgets it. Every pre-token goes through it, CHUNK characters at a time; the end of a pre-token makes the rest stable, so short ones leave at their end. Texts are walked CHUNK characters at a time, ids are decoded one by one and hashed in blocks of BLOCK_WORDS words. So beyond the text itself (and its normalised copy of one word) memory does not grow with a text; only `encode` and `tokens_frame`, whose result is the list of ids, hold all of them.
+A merge list decides how far ahead a token can still change. `MergeTable.lookahead` computes a sufficient distance from the list itself: a token is stable once that many further symbols are known, because no chain of higher-priority merges can reach back over it. `StreamingEncoder` therefore holds a bounded window of symbols, emits what is stable, and forgets it. Every pre-token goes through it, CHUNK characters at a time; the end of a pre-token makes the rest stable, so short ones leave at their end. Texts are walked CHUNK characters at a time, ids are decoded one by one and hashed in blocks of BLOCK_WORDS words. So beyond the text itself (and the normalised copy of the characters taken at once, or of one longer word) memory does not grow with a text; only `encode` and `tokens_frame`, whose result is the list of ids, hold all of them.
 
 Words of up to CACHE_CHARS characters are remembered with the ids that the transducer gave them.
 
@@ -15,7 +15,7 @@ import re
 import unicodedata
 from array import array
 from functools import lru_cache
-from itertools import chain, islice, pairwise
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -28,9 +28,9 @@ from .common import give_back, portions, table
 #: Pre-tokens of the vocabulary file: contractions, letters, one number, other symbols.
 PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+")
 #: str.split() also parts at these, which are not white space to the vocabulary's normaliser.
-_SEPARATORS = re.compile("[\x1c-\x1f]")
+_SEPARATORS = "\x1c\x1d\x1e\x1f"
 _SPACE = regex.compile(r"\p{White_Space}+")
-#: Distinct words (and pre-tokens) kept per task; the cache is emptied when it is full and when the task ends, so idle workers hold none.
+#: Distinct words and pre-tokens in each of the two generations that a task keeps; both are emptied when the task ends, so idle workers hold none.
 CACHE_WORDS = 150_000
 #: Words longer than this bypass the cache, so that its size is bounded in bytes too.
 CACHE_CHARS = 64
@@ -97,7 +97,7 @@ class MergeTable:
 
     def symbols(self, piece: str, ends: bool = True) -> list[str]:
         """Byte symbols of a pre-token or of a part of one; where the pre-token ends, the last has the end-of-word mark."""
-        s = [BYTE_SYMBOL[b] for b in piece.encode("utf-8", "surrogatepass")]
+        s = list(map(BYTE_SYMBOL.__getitem__, piece.encode("utf-8", "surrogatepass")))
         if s and ends:
             s[-1] += self.suffix
         return s
@@ -151,104 +151,114 @@ class StreamingEncoder:
         return out
 
 
+def _normal(text: str) -> str:
+    """The vocabulary's normal form; no part of it reaches over white space."""
+    return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+
+
 def _words(text: str, at: int, end: int):
-    """The words of a part of a text, as lists of about CHUNK characters."""
+    """The normalised words of a part of a text, as lists of about CHUNK characters."""
     while at < end:
         cut = _SPACE.search(text, at + CHUNK, end) if end - at > CHUNK else None
-        span = text[at : cut.start() if cut else end]
-        yield _SPACE.split(span) if _SEPARATORS.search(span) else span.split()
+        span = _normal(text[at : cut.start() if cut else end])
+        yield _SPACE.split(span) if any([c in span for c in _SEPARATORS]) else span.split()
         at = cut.end() if cut else end
 
 
 class Encoder:
-    """Encodes whole texts; short words are remembered, long ones stream."""
+    """Encodes whole texts; short words are remembered, long ones stream.
+
+    A pre-token that stands alone is a word of one pre-token, so one cache serves both. It has two generations: when
+    the younger is full it takes the older's place, and what was not asked for again is forgotten. Common words stay.
+    """
 
     def __init__(self, path: str):
-        self.table, self.words, self.pieces = MergeTable(path), {}, {}
+        self.table, self.young, self.old = MergeTable(path), {}, {}
         self.stream = StreamingEncoder(self.table)
-        self.text_of = {t: str(i) for t, i in self.table.ids.items()}
-
-    def _normal(self, word: str) -> str:
-        return word.lower() if word.isascii() else unicodedata.normalize("NFC", word).replace("Σ", "σ").lower()
-
-    def _piece(self, piece: str) -> tuple[str, int]:
-        """A short pre-token's ids, joined by a space, and their number."""
-        got = self.pieces.get(piece)
+        self.decimal = {i: str(i) for i in [*self.table.ids.values(), *self.table.special.values()]}
+
+    def _known(self, word: str) -> tuple[int, ...]:
+        """Ids of a short normalised word or pre-token, which is remembered."""
+        got = self.young.get(word)
+        if got is not None:
+            return got
+        got = self.old.get(word)
         if got is None:
-            tokens = self.stream.take(self.table.symbols(piece), True)
-            got = " ".join([self.text_of[t] for t in tokens]), len(tokens)
-            if len(self.pieces) >= CACHE_WORDS:
-                self.pieces.clear()
-            self.pieces[piece] = got
+            pieces = (word,) if word.isalpha() else PIECES.findall(word)
+            if len(pieces) == 1 and pieces[0] == word:
+                got = tuple([self.table.ids[t] for t in self.stream.take(self.table.symbols(word), True)])
+            else:
+                got = tuple(chain.from_iterable(map(self._known, pieces)))
+        if len(self.young) >= CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        self.young[word] = got
         return got
 
-    def _word(self, word: str) -> tuple[str, int]:
-        """A short word's ids, joined by a space, and their number."""
-        normal = self._normal(word)
-        if normal.isalpha() and len(normal) <= CACHE_CHARS:
-            got = self._piece(normal)
+    def _piece(self, piece: str):
+        """Ids of a pre-token, block by block where it is long."""
+        if len(piece) <= CACHE_CHARS:
+            yield self._known(piece)
         else:
-            made = list(self._long(normal))
-            got = " ".join([m[0] for m in made]), sum([m[1] for m in made])
-        if len(self.words) >= CACHE_WORDS:
-            self.words.clear()
-        self.words[word] = got
-        return got
-
-    def _long(self, normal: str):
-        """Ids of a word's pre-tokens, block by block."""
-        for m in PIECES.finditer(normal):
-            piece = m[0]
-            if len(piece) <= CACHE_CHARS:
-                yield self._piece(piece)
-            else:
-                for i in range(0, len(piece), CHUNK):
-                    ends = i + CHUNK >= len(piece)
-                    if block := self.stream.take(self.table.symbols(piece[i : i + CHUNK], ends), ends):
-                        yield " ".join([self.text_of[t] for t in block]), len(block)
+            for i in range(0, len(piece), CHUNK):
+                ends = i + CHUNK >= len(piece)
+                yield [self.table.ids[t] for t in self.stream.take(self.table.symbols(piece[i : i + CHUNK], ends), ends)]
+
+    def _long(self, word: str):
+        """Ids of a normalised word, as lists of its pre-tokens' ids that hold BLOCK_WORDS ids, or more by one block, in all."""
+        held, n = [], 0
+        for m in PIECES.finditer(word):
+            for ids in self._piece(m[0]):
+                held.append(ids)
+                n += len(ids)
+                if n >= BLOCK_WORDS:
+                    yield held
+                    held, n = [], 0
+        yield held
 
     def _parts(self, text: str):
-        """Ids and their number, in order, word by word (long words: in blocks); a special token's string counts as that token."""
-        known, word = self.words.get, self._word
+        """Ids, word by word in order (long words: in blocks), as lists of these; a special token's string counts as that token."""
         special = self.table.split_special
         at = 0
         for hit in chain(special.finditer(text) if special else (), (None,)):
             for words in _words(text, at, hit.start() if hit else len(text)):
-                for w in words:
-                    got = known(w)
-                    if got is None:
-                        if len(w) > CACHE_CHARS:
-                            yield from self._long(self._normal(w))
-                            continue
-                        got = word(w)
-                    if got[1]:
-                        yield got
+                for start in range(0, len(words), BLOCK_WORDS):
+                    block = words[start : start + BLOCK_WORDS]
+                    found, done = list(map(self.young.get, block)), 0
+                    for k, got in enumerate(found):
+                        if got is None:
+                            if len(block[k]) <= CACHE_CHARS:
+                                found[k] = self._known(block[k])
+                            else:
+                                yield found[done:k]
+                                yield from self._long(block[k])
+                                done = k + 1
+                    yield found[done:]
             if hit:
-                yield str(self.table.special[hit[0]]), 1
+                yield [(self.table.special[hit[0]],)]
                 at = hit.end()
 
     def encode(self, text: str | None) -> list[int]:
         """Token ids of a text; null is empty."""
-        return [int(i) for ids, _ in self._parts(text or "") for i in ids.split(" ")]
+        return [i for part in self._parts(text or "") for i in chain.from_iterable(part)]
 
     def digest(self, text: str | None, kept: array | None = None) -> tuple[int, str, str]:
         """Number of tokens, SHA-256 of the ids joined by a space, and of what `Decoder` gives for these ids one by one; the ids are added to `kept`."""
-        parts, decoder = self._parts(text or ""), Decoder(self.table)
+        decoder, decimal = Decoder(self.table), self.decimal.__getitem__
         n, coded, said = 0, hashlib.sha256(), hashlib.sha256()
-        while block := [ids for ids, _ in islice(parts, BLOCK_WORDS)]:
-            joined = " ".join(block)
-            ids = list(map(int, joined.split(" ")))
-            coded.update((" " + joined if n else joined).encode())
-            said.update("".join(map(decoder.surface, ids)).encode())
-            n += len(ids)
-            if kept is not None:
-                kept.extend(ids)
+        for part in self._parts(text or ""):
+            if ids := list(chain.from_iterable(part)):
+                joined = " ".join(map(decimal, ids))
+                coded.update((" " + joined if n else joined).encode())
+                said.update(decoder.surfaces(ids).encode())
+                n += len(ids)
+                if kept is not None:
+                    kept.extend(ids)
         return n, coded.hexdigest(), said.hexdigest()
 
     def forget(self) -> None:
         """Empties the caches."""
-        self.words.clear()
-        self.pieces.clear()
+        self.young.clear()
+        self.old.clear()
 
 
 class Decoder:
@@ -275,6 +285,19 @@ class Decoder:
             return said
         return " " + said
 
+    def surfaces(self, ids: list[int]) -> str:
+        """What `surface` gives for these ids, one after another."""
+        said = list(map(self.said, ids))
+        if None in said:
+            said = [t for t in said if t is not None]
+        if not said:
+            return ""
+        joined = " ".join(said)
+        if self.first:
+            self.first = False
+            return joined
+        return " " + joined
+
     def text(self, token_id: int) -> str:
         said = self.table.surface.get(token_id, "")
         if said in self.table.special:

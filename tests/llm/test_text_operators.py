@@ -64,6 +64,44 @@ def test_every_word_streams_and_long_texts_are_walked(encoder, library, monkeypa
         assert e.digest(text)[0] == len(want)
 
 
+def test_common_words_are_encoded_once_however_many_rare_ones_there_are(library, monkeypatch):
+    fed = []
+    take = bpe.StreamingEncoder.take
+    monkeypatch.setattr(bpe.StreamingEncoder, "take", lambda self, symbols, ends=False: fed.append("".join(symbols)) or take(self, symbols, ends))
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 100)
+    letters = ["".join(c) for c in itertools.product("abcdefgh", repeat=4)]
+    e = bpe.Encoder(bpe.vocabulary())
+    for i in range(0, len(letters), 20):
+        text = "Hello hello, " + " ".join(letters[i : i + 20])
+        assert e.encode(text) == library.encode(text, add_special_tokens=False).ids
+        assert max(len(e.young), len(e.old)) <= 100
+    assert len(letters) == 4096 and fed.count("hello</w>") == fed.count(",</w>") == 1
+    e.forget()
+    assert not e.young and not e.old
+
+
+def test_parts_are_normalised_as_whole_texts_are_and_long_words_come_in_blocks(library, monkeypatch):
+    e = bpe.Encoder(bpe.vocabulary())
+    r = random.Random(5)
+    odd = "Aaé\u0301\u0338\u0345ΑΣσİI\u0307\u037e\u1fef\u2000\u2001\u3000\x85\x1c\x1f\x00\u200d\u212b가\u1100\u1161'sRE1²!? \n"
+    for n in range(200):
+        monkeypatch.setattr(bpe, "CHUNK", r.choice([1, 7, 50, 1 << 16]))
+        text = "".join(r.choice(odd) for _ in range(n))
+        assert e.encode(text) == library.encode(text, add_special_tokens=False).ids
+    monkeypatch.setattr(bpe, "CHUNK", 1000)
+    for text in ("1" * 30_000, "thein" * 6_000, "ab!" * 10_000, "a b " * 10_000):
+        assert max(sum(map(len, part)) for part in e._parts(text)) <= bpe.BLOCK_WORDS + 1000
+        ids = library.encode(text, add_special_tokens=False).ids
+        said = hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+        assert e.digest(text) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), said)
+
+
+def test_decoder_skips_unknown_ids_alone_and_in_runs(encoder, library):
+    for ids in ([], [10**6], [10**6, 320, 10**6, 49407, 320], [320] * 5):
+        one, run = bpe.Decoder(encoder.table), bpe.Decoder(encoder.table)
+        assert run.surfaces(ids[:2]) + run.surfaces(ids[2:]) == "".join(map(one.surface, ids)) == library.decode(ids, skip_special_tokens=False)
+
+
 def test_lookahead_follows_every_rule_that_makes_a_token(tmp_path):
     import json
 
